@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm.leaks import leaked_items, leaked_windows
 from colloquy.llm.spans import shared_pairs
+from colloquy.llm.tokens import encode_texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(_table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_windows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_pairs(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p10_found": p10_found}
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 SQL: dict[str, str] = {}
