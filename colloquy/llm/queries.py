@@ -3,16 +3,71 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from colloquy.functions.times import timed, to_ms
 from colloquy.llm.leaks import leaked_items, leaked_windows
+from colloquy.llm.nearest import nearest_interval
+from colloquy.llm.pieces import cut_bisecting, pieces
+from colloquy.llm.runs import collapse
 from colloquy.llm.spans import shared_pairs
 from colloquy.llm.tokens import encode_texts
+from colloquy.llm.transcripts import speaker_turns
+from colloquy.operators.delivery import first_delivery
+from colloquy.plans.core_training import TURNS, turns
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(_table(spark, sf_dir, "asr_requests"))
+
+
+def p3_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests cut by recursive bisection."""
+    return pieces(_table(spark, sf_dir, "asr_requests"), cut_bisecting)
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = first_delivery(_table(spark, sf_dir, "word_timings"), "word_id", "ingested_at", ["rec_id", "start_sec", "end_sec"])
+    start, end = (F.when(~F.isnan(c), F.col(c)) for c in ("start_sec", "end_sec"))
+    w = w.select(F.col("rec_id").alias("ent"), to_ms(F.when(end >= start, (start + end) / 2).otherwise(start)).alias("t"), F.col("word_id").alias("point"))
+    t = turns(spark, sf_dir).filter(timed(F.col("start_ms"), F.col("end_ms")))
+    t = t.select(F.col("rec_id").alias("ent"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("turn_id").alias("interval"))
+    return nearest_interval(w, t, 750)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir).select(F.col("point").alias("word_id"), F.col("interval").alias("turn_id"))
+
+
+def p4_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir).select(F.col("point").alias("word_id"), F.col("interval").alias("turn_id"), F.col("distance").alias("distance_ms"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_turns(spark, sf_dir).select("transcript_id", "first_pos", "last_pos", "speaker_id", "n_words")
+
+
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speaker_turns(_table(spark, sf_dir, "transcripts"))
+
+
+def p7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run, those of a single turn included."""
+    runs = collapse(turns(spark, sf_dir), "rec_id", "speaker", "start_ms", "end_ms", "turn_id", 2000)
+    return runs.select(
+        F.col("ent").alias("rec_id"), F.col("label").cast("int").alias("speaker"), F.col("first_key").alias("first_turn_id"), F.col("n").cast("int").alias("n_turns"),
+        "from_ms", (F.col("to_ms") - F.col("from_ms")).alias("duration_ms"),
+    )
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_runs(spark, sf_dir).filter("n_turns >= 3").select("rec_id", "first_turn_id", "n_turns")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"))
 
@@ -29,5 +84,27 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_pairs(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+_NEAREST = f"""with {TURNS},
+words1 as (select word_id, rec_id, try_cast(round_even(case when not isnan(start_sec) then case when not isnan(end_sec) and end_sec >= start_sec then (start_sec + end_sec) / 2 else start_sec end end * 1000, 0) as bigint) t
+  from word_timings qualify row_number() over (partition by word_id order by ingested_at nulls last) = 1),
+near as (select word_id, turn_id, s, greatest(s - t, t - e, 0) d from words1 join timed using (rec_id) where t is not null and s - 750 <= t and t <= e + 750),
+best as (select * from near qualify row_number() over (partition by word_id order by d, s desc, turn_id) = 1)"""
+
+_RUNS = f"""with {TURNS.split("timed as")[0]}
+t as (select *, try_cast(round_even(start_sec * 1000, 0) as bigint) s, try_cast(round_even(end_sec * 1000, 0) as bigint) e from turns1),
+marked as (select *, coalesce(speaker = lag(speaker) over w and s - lag(s) over w <= 2000, false) joins from t
+  where s is not null and speaker is not null and rec_id is not null window w as (partition by rec_id order by s, turn_id)),
+numbered as (select *, sum((not joins)::int) over (partition by rec_id order by s, turn_id rows unbounded preceding) run from marked),
+runs as (select rec_id, any_value(speaker) speaker, arg_min(turn_id, (s, turn_id)) first_turn_id, count(*)::int n_turns, min(s) from_ms, max(greatest(s, coalesce(e, s))) - min(s) duration_ms from numbered group by rec_id, run)"""
+
+SQL: dict[str, str] = {
+    "p4_found": _NEAREST + " select word_id, turn_id from best",
+    "p4_distances": _NEAREST + " select word_id, turn_id, d distance_ms from best",
+    "p7_runs": _RUNS + " select * from runs",
+    "p7_found": _RUNS + " select rec_id, first_turn_id, n_turns from runs where n_turns >= 3",
+}
+
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_bisected, p4_found, p4_distances, p6_found, p6_turns, p7_found, p7_runs, p8_ids, p9_found, p9_leaks, p10_found)
+}
