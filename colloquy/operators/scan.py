@@ -7,6 +7,7 @@ column must grow with ``at``.
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 from operator import and_
 
@@ -22,6 +23,18 @@ def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFram
     return rows.join(totals, reduce(and_, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]), "left").drop(*[f"r_{k}" for k in keys])
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the folder that the session names in spark.checkpoint.dir; only where none is named, as in a local
+    test, one is made."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-"))
+    return df.checkpoint()
+
+
 def _bucketed(df: DataFrame, entity: list[str], at: str, bucket: float) -> tuple[DataFrame, list[str]]:
     keys = [*entity, "__b"]
     return df.withColumn("__b", F.floor(F.col(at) / F.lit(bucket))).repartition(*keys), keys
@@ -61,10 +74,18 @@ def neighbours(df: DataFrame, entity: list[str], at: str, order: list[str], befo
     return rows.drop("__b")
 
 
-def islands(df: DataFrame, entity: list[str], start: str, end: str, order: list[str], gap: float, also: Column | None = None, name: str = "island") -> DataFrame:
-    """Numbers stretches between which nothing reaches over: a row begins one where its start is more than ``gap`` beyond all earlier ends
-    (and ``also`` holds)."""
-    rows = running(df, entity, start, order, {"__top": ("max", F.col(end))})
-    fresh = F.col("__top").isNull() | (F.col(start) > F.col("__top") + F.lit(gap)) & (F.lit(True) if also is None else also)
-    rows = rows.withColumn("__fresh", fresh.cast("int")).drop("__top")
-    return running(rows, entity, start, order, {name: ("sum", F.col("__fresh"))}, inclusive=True).drop("__fresh")
+def islands(df: DataFrame, entity: list[str], start: str, end: str, order: list[str], gap: float, least: float | None = None, name: str = "island") -> DataFrame:
+    """Numbers stretches between which nothing reaches over: a row begins one where its start is more than ``gap`` beyond all earlier
+    ends and, with ``least``, at least that much of it comes before its end and before the next start.
+
+    Each step reads its input twice, for the rows and for what buckets hand on; the input is checkpointed instead of computed twice.
+    """
+    rows = df
+    if least is not None:
+        rows = neighbours(cut(rows), entity, start, order, after={"__next": start})
+    rows = running(cut(rows), entity, start, order, {"__top": ("max", F.col(end))})
+    fresh = F.col("__top").isNull() | (F.col(start) > F.col("__top") + F.lit(gap))
+    if least is not None:
+        fresh &= F.least(F.col(end), F.col("__next")) - F.col(start) >= least
+    rows = rows.withColumn("__fresh", fresh.cast("int")).drop("__top", "__next")
+    return running(cut(rows), entity, start, order, {name: ("sum", F.col("__fresh"))}, inclusive=True).drop("__fresh")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import timelines as tl
+from colloquy.operators.scan import islands
 
 
 def frames(ref: DataFrame, hyp: DataFrame, step: float) -> DataFrame:
@@ -113,7 +114,7 @@ def match_change_points(ref: DataFrame, hyp: DataFrame, tolerance: float) -> Dat
     """
     both = ref.select("rec_id", "idx", "at", F.lit(0).alias("side")).unionByName(hyp.select("rec_id", "idx", "at", F.lit(1).alias("side")))
     both = both.withColumn("end", F.col("at"))
-    parts = tl.islands(both, ["rec_id"], "at", "end", ["at", "side", "idx"], tolerance + 1e-6, name="part")
+    parts = islands(both, ["rec_id"], "at", "end", ["at", "side", "idx"], tolerance + 1e-6, name="part")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "idx"])

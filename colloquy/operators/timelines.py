@@ -6,97 +6,122 @@ end before their start must have been left out. Order is by start, end, idx.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.operators.scan import islands, neighbours, running
+from colloquy.operators.scan import islands, neighbours
 
 REC, ORDER = ["rec_id"], ["start", "end", "idx"]
 
 
-def merge_same_speaker(t: DataFrame, gap: float) -> DataFrame:
-    """Consecutive turns of one speaker become one where each starts no later than ``gap`` after what came before ends."""
-    t = neighbours(t, REC, "start", ORDER, before={"__who": "speaker"})
-    t = t.withColumn("__change", F.when(F.col("__who").eqNullSafe(F.col("speaker")), 0).otherwise(1))
-    t = running(t, REC, "start", ORDER, {"__run": ("sum", F.col("__change"))}, inclusive=True)
-    t = islands(t, ["rec_id", "__run"], "start", "end", ORDER, gap, name="__part")
-    t = t.groupBy("rec_id", "__run", "__part").agg(F.min(F.struct(*ORDER)).alias("f"), F.max("end").alias("end"), F.first("speaker").alias("speaker"))
-    return t.select("rec_id", F.col("f.idx").alias("idx"), F.col("f.start").alias("start"), "end", "speaker")
-
+PART = ["rec_id", "island"]
 
-def _fold(t: DataFrame, step, name: str = "__island") -> DataFrame:
-    """Folds each island in order. step(last, turn) gives (what becomes of last, what is put after it or null)."""
-    kind = "struct<start:double,end:double,idx:bigint,speaker:int>"
-    row = F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("idx").cast("bigint").alias("idx"), F.col("speaker").cast("int").alias("speaker"))
-    grouped = t.groupBy("rec_id", name).agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("last"))
 
-    def one(state: Column, turn: Column) -> Column:
-        last, new = step(state["last"], turn)
-        kept = F.when(new.isNull() | state["last"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(last)))
-        return F.struct(kept.alias("done"), F.coalesce(new, last).cast(kind).alias("last"))
+def stretches(t: DataFrame, gap: float, least: float | None = None) -> DataFrame:
+    """The turns with ``island``, numbering stretches of a recording that no rule with gaps up to ``gap`` reaches across; with ``least`` no
+    rule that absorbs turns shorter than that either, since a stretch then begins with a turn that stays longer."""
+    return islands(t, REC, "start", "end", ORDER, gap, least)
 
-    whole = F.aggregate("turns", start, one, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
-    return grouped.select("rec_id", F.inline(whole))
 
-
-def turn(start: Column, end: Column, of: Column) -> Column:
-    return F.struct(start.alias("start"), end.alias("end"), of["idx"].alias("idx"), of["speaker"].alias("speaker"))
+def merge_same_speaker(t: DataFrame, gap: float) -> DataFrame:
+    """Consecutive turns of one speaker become one where each starts no later than ``gap`` after what came before ends. t: with islands."""
+    w = Window.partitionBy(*PART).orderBy(*ORDER)
+    t = t.withColumn("run", F.sum(F.when(F.lag("speaker").over(w).eqNullSafe(F.col("speaker")), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = Window.partitionBy(*PART, "run").orderBy(*ORDER)
+    top = F.max("end").over(r.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("fresh", F.coalesce((F.col("start") > top + gap).cast("int"), F.lit(1)))
+    t = t.withColumn("part", F.sum("fresh").over(r.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.groupBy(*PART, "run", "part").agg(F.min(F.struct(*ORDER)).alias("f"), F.max("end").alias("end"), F.first("speaker").alias("speaker"))
+    return t.select(*PART, F.col("f.idx").alias("idx"), F.col("f.start").alias("start"), "end", "speaker")
+
+
+_KIND = pa.schema([("rec_id", pa.string()), ("island", pa.int64()), ("idx", pa.int64()), ("start", pa.float64()), ("end", pa.float64()), ("speaker", pa.int32())])
+_SHAPE = "rec_id string, island long, idx long, start double, end double, speaker int"
+Step = Callable[[list | None, list], bool]
+
+
+def _fold(t: DataFrame, step: Step) -> DataFrame:
+    """Walks each stretch in order. step(last, turn) may change the last kept turn and the turn (lists of idx, start, end, speaker) and says
+    whether the turn is kept. One turn is held at a time; the rows of a stretch stream by, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            out = []
+            for rec, part, *x in zip(*(c.to_pylist() for c in batch.columns)):
+                if (rec, part) != key:
+                    if last is not None:
+                        out.append((*key, *last))
+                    key, last = (rec, part), None
+                if step(last, x):
+                    if last is not None:
+                        out.append((*key, *last))
+                    last = x
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), _KIND.types)], schema=_KIND)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], type=k) for c, k in zip((*key, *last), _KIND.types)], schema=_KIND)
+
+    rows = t.select("rec_id", F.col("island").cast("long"), F.col("idx").cast("long"), F.col("start").cast("double"), F.col("end").cast("double"), F.col("speaker").cast("int"))
+    return rows.repartition(*PART).sortWithinPartitions(*PART, *ORDER).mapInArrow(run, _SHAPE)
 
 
 def split_overlaps(t: DataFrame, min_len: float) -> DataFrame:
     """Overlaps of two speakers are cut at their midpoint, those of one are joined; what remains of the later turn is dropped when shorter
-    than ``min_len``, and the earlier one stays cut."""
+    than ``min_len``, and the earlier one stays cut. t: with islands."""
 
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
-        over = last.isNotNull() & (x["start"] < last["end"])
-        same = over & (x["speaker"] == last["speaker"])
-        mid = (x["start"] + last["end"]) * 0.5
-        new = F.when(same, None).when(over & (x["end"] - mid < min_len), None).when(over, turn(mid, x["end"], x)).otherwise(turn(x["start"], x["end"], x))
-        left = F.when(same, turn(last["start"], F.greatest(last["end"], x["end"]), last)).when(over, turn(last["start"], mid, last)).otherwise(last)
-        return left, new
+    def step(last: list | None, x: list) -> bool:
+        if last is None or x[1] >= last[2]:
+            return True
+        if last[3] == x[3]:
+            last[2] = max(last[2], x[2])
+            return False
+        last[2] = x[1] = (x[1] + last[2]) * 0.5
+        return x[2] - x[1] >= min_len
 
-    return _fold(islands(t, REC, "start", "end", ORDER, 0.0, name="__island"), step)
+    return _fold(t, step)
 
 
 def absorb_short(t: DataFrame, min_len: float, gap: float) -> DataFrame:
     """Turns shorter than ``min_len`` go into the turn before, whoever speaks, or nowhere if there is none; then gaps of one speaker up to
-    ``gap`` are closed. A long turn beyond the gap depends on nothing before it: the fold is cut there."""
-    long = F.col("end") - F.col("start") >= min_len
+    ``gap`` are closed. t: with islands made with ``least``."""
 
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
-        short = x["end"] - x["start"] < min_len
-        joins = last.isNotNull() & (short | (x["speaker"] == last["speaker"]) & (x["start"] <= last["end"] + gap))
-        new = F.when(short | joins, None).otherwise(turn(x["start"], x["end"], x))
-        return F.when(joins, turn(last["start"], F.greatest(last["end"], x["end"]), last)).otherwise(last), new
+    def step(last: list | None, x: list) -> bool:
+        short = x[2] - x[1] < min_len
+        if last is not None and (short or last[3] == x[3] and x[1] <= last[2] + gap):
+            last[2] = max(last[2], x[2])
+            return False
+        return not short
 
-    return _fold(islands(t, REC, "start", "end", ORDER, gap, also=long, name="__island"), step)
+    return _fold(t, step)
 
 
 def split_and_fill(t: DataFrame, gap: float, min_len: float) -> DataFrame:
-    """Overlaps of two speakers cut at their midpoint, then gaps of one speaker up to ``gap`` closed; turns under ``min_len`` left out."""
+    """Overlaps of two speakers cut at their midpoint, then gaps of one speaker up to ``gap`` closed; turns under ``min_len`` left out. t: with islands."""
 
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
-        over = last.isNotNull() & (x["start"] < last["end"]) & (x["speaker"] != last["speaker"])
-        mid = (x["start"] + last["end"]) * 0.5
-        start = F.when(over, mid).otherwise(x["start"])
-        joins = last.isNotNull() & (x["speaker"] == last["speaker"]) & (start <= last["end"] + gap)
-        new = F.when(joins | (x["end"] - start < min_len), None).otherwise(turn(start, x["end"], x))
-        left = F.when(joins, turn(last["start"], F.greatest(last["end"], x["end"]), last)).when(over, turn(last["start"], mid, last)).otherwise(last)
-        return left, new
+    def step(last: list | None, x: list) -> bool:
+        if last is not None and last[3] != x[3] and x[1] < last[2]:
+            last[2] = x[1] = (x[1] + last[2]) * 0.5
+        elif last is not None and last[3] == x[3] and x[1] <= last[2] + gap:
+            last[2] = max(last[2], x[2])
+            return False
+        return x[2] - x[1] >= min_len
 
-    return _fold(islands(t, REC, "start", "end", ORDER, gap, name="__island"), step)
+    return _fold(t, step)
 
 
 def split_then_join(t: DataFrame, tight: float, gap: float) -> DataFrame:
     """The other merge rule: joined at ``tight``, overlaps of two speakers cut at their midpoint, one speaker joined at ``gap``."""
-    return split_and_fill(merge_same_speaker(t, tight), gap, float("-inf"))
+    return split_and_fill(merge_same_speaker(stretches(t, gap), tight), gap, float("-inf"))
 
 
 def postprocess(t: DataFrame, gap: float = 3.0, min_len: float = 0.2) -> DataFrame:
     """The whole merge: tight joins, midpoints, short turns absorbed, a final round, speakers renumbered by talk time."""
-    t = split_and_fill(absorb_short(split_overlaps(merge_same_speaker(t, 0.05), min_len), min_len, gap), gap, 0.15)
-    return renumber(t)
+    t = merge_same_speaker(stretches(t, gap, min_len), 0.05)
+    return renumber(split_and_fill(absorb_short(split_overlaps(t, min_len), min_len, gap), gap, 0.15))
 
 
 def talk_seconds(t: DataFrame) -> DataFrame:

@@ -92,22 +92,22 @@ def r02_relabelled(spark, sf_dir):
 
 @query("r04_merged", f"with {TL}, {merged_sql('tl', 0.05, 'm')} select {OUT} from m")
 def r04_merged(spark, sf_dir):
-    return tl.merge_same_speaker(timeline(spark, sf_dir), 0.05)
+    return tl.merge_same_speaker(tl.stretches(timeline(spark, sf_dir), 0.05), 0.05).drop("island")
 
 
 @query("r05_split_overlaps", f"with recursive {TL}, {merged_sql('tl', 0.05, 'm')}, {r05_sql('m', 'f', 0.2)} select {OUT} from f")
 def r05_split_overlaps(spark, sf_dir):
-    return tl.split_overlaps(tl.merge_same_speaker(timeline(spark, sf_dir), 0.05), 0.2)
+    return tl.split_overlaps(tl.merge_same_speaker(tl.stretches(timeline(spark, sf_dir), 0.05), 0.05), 0.2).drop("island")
 
 
 @query("r06_absorbed", f"with recursive {TL}, {r06_sql('tl', 'f', 0.6, 3.0)} select {OUT} from f")
 def r06_absorbed(spark, sf_dir):
-    return tl.absorb_short(timeline(spark, sf_dir), 0.6, 3.0)
+    return tl.absorb_short(tl.stretches(timeline(spark, sf_dir), 3.0, 0.6), 0.6, 3.0).drop("island")
 
 
 @query("r07_final_round", f"with recursive {TL}, {r07_sql('tl', 'f', 3.0, 0.15)} select {OUT} from f")
 def r07_final_round(spark, sf_dir):
-    return tl.split_and_fill(timeline(spark, sf_dir), 3.0, 0.15)
+    return tl.split_and_fill(tl.stretches(timeline(spark, sf_dir), 3.0), 3.0, 0.15).drop("island")
 
 
 @query("r08_other_rule", f"with recursive {TL}, {merged_sql('tl', 0.001, 'm')}, {r07_sql('m', 'f', 0.25, -1e9)}, {renumber_sql('f', 'rn')} select {OUT} from rn where en - st >= 0.15e0".replace("-1000000000.0e0", "-1e9"))
@@ -155,10 +155,10 @@ def a02_cluster_sizes(spark, sf_dir):
     return bins.join(n, ["rec_id", "speaker"], "left").fillna(0, ["n"])
 
 
-@query("a10_cluster_duration", f"with {TL} select sp speaker, round_even(sum(round((en - st) * 1000)::bigint) / 1000e0, 1) seconds from tl group by all")
+@query("a10_cluster_duration", f"with {TL} select sp speaker, round_even(sum(round((en - st) * 1000)::bigint) / 1000e0, 1) total_sec from tl group by all")
 def a10_cluster_duration(spark, sf_dir):
     t = timeline(spark, sf_dir)
-    return t.groupBy("speaker").agg(F.bround(F.sum(F.round((F.col("end") - F.col("start")) * 1000).cast("long")) / 1000.0, 1).alias("seconds"))
+    return t.groupBy("speaker").agg(F.bround(F.sum(F.round((F.col("end") - F.col("start")) * 1000).cast("long")) / 1000.0, 1).alias("total_sec"))
 
 
 RASTER = """cells as (select rec_id, idx, sp, unnest(range(floor(st / {step})::bigint, greatest(floor(st / {step})::bigint + {one}, ceil(en / {step})::bigint))) cell from {src}),
