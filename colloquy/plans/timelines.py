@@ -272,10 +272,10 @@ def j14_change_point_match(spark, sf_dir):
 
 @query("a30_pair_report")
 def a30_pair_report(spark, sf_dir):
-    """One row per recording with every score."""
-    t = timeline(spark, sf_dir)
-    h = hypothesis(t)
-    f = scoring.frames(t, h, 0.1)
+    """One row per recording with every score; the timelines and cells are checkpointed, since each score reads them."""
+    t = scan.cut(timeline(spark, sf_dir))
+    h = scan.cut(hypothesis(t))
+    f = scan.cut(scoring.frames(t, h, 0.1))
     m = scoring.assign(scoring.overlap(f))
     out = scoring.score(f, m).join(scoring.turn_majority(t, f, m, 0.1), "rec_id", "left")
     return out.join(scoring.match_change_points(tl.change_points(t), tl.change_points(h), 0.5), "rec_id", "left")
