@@ -11,7 +11,7 @@ import tempfile
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKET = 600.0
@@ -23,15 +23,20 @@ def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFram
     return rows.join(totals, reduce(and_, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]), "left").drop(*[f"r_{k}" for k in keys])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the folder that the session names in spark.checkpoint.dir; only where none is named, as in a local
-    test, one is made."""
-    context = df.sparkSession.sparkContext
+def cut_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only where none is named, as in a local test, one is made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint, computed once and read by all that follows."""
+    cut_folder(df.sparkSession)
     return df.checkpoint()
 
 
