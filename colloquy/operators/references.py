@@ -56,11 +56,12 @@ def orphan_references(records: DataFrame, references: DataFrame, salts: int = SA
 
     The state of a key is repeated under ``salts`` numbers, so that the references to one key are joined in as many tasks.
     """
-    state = states(records, references).filter(F.col("existing").isNotNull()).select(F.col("key").alias("k"), F.col("arrived").alias("came"), "deleted", "existing")
-    state = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = references.filter("key is not null").withColumn("salt", F.pmod(F.xxhash64(*[c for c in references.columns if c != "key"]), F.lit(salts)).cast("int"))
-    kind = F.when(F.col("existing") == 0, "missing").when(F.col("deleted") < F.col("arrived"), "deleted").when(F.col("came") > F.col("arrived"), "late")
-    return salted.join(state, (F.col("key") == F.col("k")) & (salted["salt"] == state["salt"])).withColumn("kind", kind).filter("kind is not null").select(*references.columns, "kind")
+    state = states(records, references).select(F.col("key").alias("__k"), F.col("arrived").alias("__came"), F.col("deleted").alias("__went"), F.col("existing").alias("__n"))
+    state = state.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = references.filter("key is not null").withColumn("__salt", F.pmod(F.xxhash64(*[c for c in references.columns if c != "key"]), F.lit(salts)).cast("int"))
+    kind = F.when(F.col("__n") == 0, "missing").when(F.col("__went") < F.col("arrived"), "deleted").when(F.col("__came") > F.col("arrived"), "late")
+    met = salted.join(state, (F.col("key") == F.col("__k")) & (F.col("__salt") == F.col("__s"))).withColumn("__kind", kind).filter("__kind is not null")
+    return met.select(*references.columns, F.col("__kind").alias("kind"))
 
 
 def dangling_positions(table: DataFrame, key: str, arrived: str, entries: str = "speakers", items: str = "segments") -> DataFrame:
