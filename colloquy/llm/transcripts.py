@@ -28,7 +28,7 @@ _CLOCK = r"\d{1,3}:[0-5]\d(?::[0-5]\d)?(?:[.,]\d{1,3})?"
 TIME = re.compile(rf"[\[(<{{]\s*{_CLOCK}(?:\s*-+>?\s*{_CLOCK})?\s*[\])>}}]|(?<![\w:])@?{_CLOCK}(?:\s*-+>\s*{_CLOCK})?(?![\w:])")
 VOICE = re.compile(r"<v(?:\.[\w.]+)?\s+([^<>]{1,80})>")
 NOTE = re.compile(r"\(\([^()]*\)\)|\[[^\[\]]*\]|\([^()]*\)|<[^<>]*>|\{[^{}]*\}|【[^【】]*】|\*+[^*]+\*+|♪[^♪]*♪|♪|♫")
-LABEL = re.compile(r"(?:(\[)\s*([^\[\]:：]{1,60}?)\s*\]|(<)\s*([^<>:：]{1,60}?)\s*>|(\()\s*([^():：]{1,60}?)\s*\)|()([^\W_][^\[\]<>():：.!?]{0,59}?(?:\.[^\[\]<>():：.!?]{1,20}?)?))\s*[:：](?=\s|$)")
+LABEL = re.compile(r"(?:(\[)\s*([^\[\]:：]{1,60}?)\s*\]|(<)\s*([^<>:：]{1,60}?)\s*>|(\()\s*([^():：]{1,60}?)\s*\)|()([^\W_][^\[\]<>():：.!?]{0,59}?(?:\.[^\[\]<>():：.!?]{1,20}?)?))\s*(?:：|:)")
 # Hesitation sounds, each letter any number of times.
 HESITATION = re.compile(r"u+h+m*|u+m+|e+r+m+|e+r{2,}|h+m+|m{2,}|ä+h*m+|ä+h+|e+u+h+m*|e+h+m*|a+h+m*|ö+h+m*")
 
@@ -39,8 +39,18 @@ def is_hesitation(piece: str) -> bool:
     return bool(HESITATION.fullmatch(letters))
 
 
-def _is_label(text: str, framed: bool, known: SpeakerTable) -> bool:
-    if framed or known.find(text) is not None or number(text) is not None:
+def _name(m: re.Match) -> str:
+    return next(filter(None, m.group(2, 4, 6, 8)))
+
+
+def _is_label(m: re.Match, chevron: bool, known: SpeakerTable) -> bool:
+    """Whether what stands before a colon is a label. One that is neither framed nor known must look like a name, and a space must follow."""
+    text, framed = _name(m), chevron or not m.group(8)
+    if framed or known.find(text) is not None:
+        return True
+    if m.group().endswith(":") and not m.string[m.end() : m.end() + 1].isspace() and m.end() < len(m.string):
+        return False
+    if number(text) is not None:
         return True
     words = text.split()
     return len(words) <= 3 and all(w[0].isupper() or w[0].isdigit() for w in words)
@@ -58,8 +68,8 @@ def read_line(text: str, known: SpeakerTable) -> tuple[str | None, list[str]]:
             label, at = m[1].strip(), m.end()
         elif m := TIME.match(text, at):
             at = m.end()
-        elif label is None and (m := LABEL.match(text, at)) and _is_label(name := next(filter(None, m.group(2, 4, 6, 8))), chevron or not m.group(8), known):
-            label, at = name, m.end()
+        elif label is None and (m := LABEL.match(text, at)) and _is_label(m, chevron, known):
+            label, at = _name(m), m.end()
         elif m := NOTE.match(text, at):
             at = m.end()
         else:
