@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 
-def as_large(column: pa.Array | pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.cast(kind)
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the table has fewer splits than twice the cores, as a small one in a single file has; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def slices_by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:

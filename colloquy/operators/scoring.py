@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import timelines as tl
-from colloquy.operators.scan import islands
+from colloquy.operators.scan import cut, islands
+from colloquy.operators.walks import walk
 
 
 def frames(ref: DataFrame, hyp: DataFrame, step: float) -> DataFrame:
@@ -18,8 +21,16 @@ def frames(ref: DataFrame, hyp: DataFrame, step: float) -> DataFrame:
     return a.join(b, ["rec_id", "cell"], "full").fillna(-1, ["ref", "hyp"])
 
 
+def counts(f: DataFrame) -> DataFrame:
+    """rec_id, ref, hyp, n: how many cells have each pair of labels, which is all that most scores need. Checkpointed, since it is small and the
+    mapping and the scores both read it."""
+    return cut(f.groupBy("rec_id", "ref", "hyp").agg(F.count("*").alias("n")))
+
+
 def overlap(f: DataFrame) -> DataFrame:
-    return f.filter("ref >= 0 and hyp >= 0").groupBy("rec_id", "hyp", "ref").agg(F.count("*").alias("n"))
+    """rec_id, hyp, ref, n where both speak; f: cells or their counts."""
+    both = f.filter("ref >= 0 and hyp >= 0")
+    return both.select("rec_id", "hyp", "ref", "n") if "n" in f.columns else both.groupBy("rec_id", "hyp", "ref").agg(F.count("*").alias("n"))
 
 
 def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -53,23 +64,31 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
 
 def assign(matrix: DataFrame) -> DataFrame:
     """rec_id, hyp, ref of the best one-to-one mapping. A recording's matrix is as large as its numbers of speakers, whatever its length."""
+    schema = pa.schema([("rec_id", pa.string()), ("hyp", pa.int32()), ("ref", pa.int32())])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="hyp", columns="ref", values="n", fill_value=0).sort_index()
-        pairs = best_assignment(table.to_numpy())
-        return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "hyp": [int(table.index[a]) for a, _ in pairs], "ref": [int(table.columns[b]) for _, b in pairs]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rec, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hyps, refs = sorted({c["hyp"] for c in cells}), sorted({c["ref"] for c in cells})
+                gain = np.zeros((len(hyps), len(refs)))
+                for c in cells:
+                    gain[hyps.index(c["hyp"]), refs.index(c["ref"])] = c["n"]
+                out += [(rec, hyps[i], refs[j]) for i, j in best_assignment(gain)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    return matrix.groupBy("rec_id").applyInPandas(solve, "rec_id string, hyp int, ref int")
+    return matrix.groupBy("rec_id").agg(F.collect_list(F.struct("hyp", "ref", "n"))).mapInArrow(run, "rec_id string, hyp int, ref int")
 
 
 def _mapped(f: DataFrame, mapping: DataFrame) -> DataFrame:
-    counts = f.groupBy("rec_id", "ref", "hyp").agg(F.count("*").alias("n"))
+    counts = f if "n" in f.columns else f.groupBy("rec_id", "ref", "hyp").agg(F.count("*").alias("n"))
     m = mapping.select("rec_id", "hyp", F.col("ref").alias("as_ref"))
     return counts.join(m, ["rec_id", "hyp"], "left").withColumn("as_ref", F.when(F.col("hyp") < 0, -1).otherwise(F.coalesce("as_ref", F.lit(-9))))
 
 
 def score(f: DataFrame, mapping: DataFrame) -> DataFrame:
-    """frame_acc over cells where both speak; miss, fa, conf and their sum der over cells where either does. Without any mapping 0 and 1."""
+    """f: cells or their counts. frame_acc over cells where both speak; miss, fa, conf and their sum der over cells where either does. Without any mapping 0 and 1."""
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     ref, hyp, both = F.col("ref") >= 0, F.col("hyp") >= 0, (F.col("ref") >= 0) & (F.col("hyp") >= 0)
     c = _mapped(f, mapping).groupBy("rec_id").agg(
@@ -116,20 +135,24 @@ def match_change_points(ref: DataFrame, hyp: DataFrame, tolerance: float) -> Dat
     both = both.withColumn("end", F.col("at"))
     parts = islands(both, ["rec_id"], "at", "end", ["at", "side", "idx"], tolerance + 1e-6, name="part")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "idx"])
-        mine, theirs = pdf.loc[pdf.side == 0, "at"].tolist(), pdf.loc[pdf.side == 1, "at"].tolist()
-        free = list(range(len(theirs)))
-        hits = 0
+    def step(state: tuple[list, list], row: tuple) -> list[tuple]:
+        state[row[1]].append(row[0])
+        return []
+
+    def end(state: tuple[list, list]) -> list[tuple]:
+        mine, theirs = state
+        free, hits = list(range(len(theirs))), 0
         for r in mine:
             k = next((k for k in free if abs(r - theirs[k]) <= tolerance), None)
             if k is not None:
                 free.remove(k)
                 hits += 1
-        return pd.DataFrame({"rec_id": [pdf.rec_id.iloc[0]], "matched": [hits], "n_ref": [len(mine)], "n_hyp": [len(theirs)]})
+        return [(hits, len(mine), len(theirs))]
 
     mixed = Window.partitionBy("rec_id", "part")
     parts = parts.withColumn("two", F.min("side").over(mixed) != F.max("side").over(mixed))
     alone = parts.filter("not two").groupBy("rec_id").agg(F.lit(0).cast("long").alias("matched"), F.count(F.when(F.col("side") == 0, 1)).alias("n_ref"), F.count(F.when(F.col("side") == 1, 1)).alias("n_hyp"))
-    met = parts.filter("two").groupBy("rec_id", "part").applyInPandas(walk, "rec_id string, matched long, n_ref long, n_hyp long")
+    arrow = pa.schema([("rec_id", pa.string()), ("part", pa.int64()), ("matched", pa.int64()), ("n_ref", pa.int64()), ("n_hyp", pa.int64())])
+    rows = parts.filter("two").select("rec_id", F.col("part").cast("long"), "at", "side", "idx")
+    met = walk(rows, ["rec_id", "part"], [F.col("at"), F.col("idx")], ["at", "side"], "rec_id string, part long, matched long, n_ref long, n_hyp long", arrow, lambda: ([], []), step, end).drop("part")
     return met.unionByName(alone).groupBy("rec_id").agg(F.sum("matched").alias("matched"), F.sum("n_ref").alias("n_ref"), F.sum("n_hyp").alias("n_hyp"))

@@ -199,7 +199,7 @@ overlap as (select rec_id, h, r, count(*) n from frames where h >= 0 and r >= 0
 
 
 def _frames(spark, sf_dir):
-    t = timeline(spark, sf_dir)
+    t = scan.cut(timeline(spark, sf_dir))
     return scoring.frames(t, hypothesis(t), 0.1)
 
 
@@ -234,8 +234,8 @@ select c.rec_id, speech n_speech, case when hit is null or both_ = 0 then 0e0 el
 case when hit is null then 1e0 else fa::double / speech end fa, case when hit is null then 1e0 else (both_ - hit)::double / speech end conf, case when hit is null then 1e0 else (miss + fa + both_ - hit)::double / speech end der from c left join best using (rec_id)""")
 def score_pairs(spark, sf_dir):
     """The flagship: accuracy and error rates of a timeline against another under the best one-to-one mapping of speakers."""
-    f = _frames(spark, sf_dir)
-    return scoring.score(f, scoring.assign(scoring.overlap(f)))
+    n = scoring.counts(_frames(spark, sf_dir))
+    return scoring.score(n, scoring.assign(scoring.overlap(n)))
 
 
 @query("a08_mean_scores", f"""with recursive {PAIR}, {BEST}, c as (select rec_id, count_if(r >= 0 or h >= 0) speech, count_if(r >= 0 and h >= 0) both_, count_if(r >= 0 and h < 0) miss, count_if(r < 0 and h >= 0) fa from frames group by all)
@@ -246,14 +246,14 @@ def a08_mean_scores(spark, sf_dir):
 
 @query("a06_recall")
 def a06_recall(spark, sf_dir):
-    f = _frames(spark, sf_dir)
-    return scoring.recall(f, scoring.assign(scoring.overlap(f)))
+    n = scoring.counts(_frames(spark, sf_dir))
+    return scoring.recall(n, scoring.assign(scoring.overlap(n)))
 
 
 @query("a07_turn_majority")
 def a07_turn_majority(spark, sf_dir):
-    t = timeline(spark, sf_dir)
-    f = _frames(spark, sf_dir)
+    t = scan.cut(timeline(spark, sf_dir))
+    f = scoring.frames(t, hypothesis(t), 0.1)
     return scoring.turn_majority(t, f, scoring.assign(scoring.overlap(f)), 0.1)
 
 
@@ -276,6 +276,7 @@ def a30_pair_report(spark, sf_dir):
     t = scan.cut(timeline(spark, sf_dir))
     h = scan.cut(hypothesis(t))
     f = scan.cut(scoring.frames(t, h, 0.1))
-    m = scoring.assign(scoring.overlap(f))
-    out = scoring.score(f, m).join(scoring.turn_majority(t, f, m, 0.1), "rec_id", "left")
+    n = scoring.counts(f)
+    m = scoring.assign(scoring.overlap(n))
+    out = scoring.score(n, m).join(scoring.turn_majority(t, f, m, 0.1), "rec_id", "left")
     return out.join(scoring.match_change_points(tl.change_points(t), tl.change_points(h), 0.5), "rec_id", "left")
