@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.arrow import spread
+
 WINDOW = 12
 BUDGET = 1
 BLOCK_ITEMS = 20_000  # items of one automaton; the bound of what is collected and broadcast at a time
@@ -110,7 +112,8 @@ def leaked_windows(docs: DataFrame, items: DataFrame, text: str = "text", key: s
         raise ValueError("a window needs a word for each piece")
     items = items.select(F.col(item).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("words"))
     items = items.filter(F.col("item_id").isNotNull() & (F.size(F.split(F.trim("words"), " ")) >= window))
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), words_of(F.col(text)).alias("words")).filter(F.col("doc_id").isNotNull() & (F.length("words") > 2 * window))
+    docs = spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("words")))
+    docs = docs.withColumn("words", words_of(F.col("words"))).filter(F.col("doc_id").isNotNull() & (F.length("words") > 2 * window))
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
     blocks = max(1, -(-n // (BLOCK_ITEMS // 2)), -(-chars // (BLOCK_CHARS // 2)))
     schema = "doc_id long, item_id long, n_windows int, n_exact int, distance int"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.arrow import slices_by_bytes
+from colloquy.functions.arrow import slices_by_bytes, spread
 
 SLICE_BYTES = 1 << 19
 LONGEST = 32  # bytes of a pre-token that tier one takes
@@ -324,5 +324,5 @@ def encode_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), lists], names=[key, name])
 
-    frame = docs.select(F.col(key).alias(key), F.col(text).alias("__text"))
+    frame = spread(docs.select(F.col(key).alias(key), F.col(text).alias("__text")))
     return frame.mapInArrow(run, f"`{key}` {frame.schema[0].dataType.simpleString()}, `{name}` array<int>")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.arrow import spread
 from colloquy.functions.labels import SpeakerTable, number
 from colloquy.operators.delivery import first_delivery
 
@@ -125,5 +126,5 @@ def speaker_turns(df: DataFrame, key: str = "transcript_id", arrived: str = "ing
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, type=pa.list_(_TURN))], names=[key, arrived, "turns"])
 
     spoken = F.transform("segments", lambda s: F.when(s.isNotNull(), F.struct(*[s[c].alias(c) for c in ("start_sec", "end_sec", "text", "speaker")], F.transform(s["words"], lambda w: F.struct(w["word"].alias("word"))).alias("words"))))
-    found = df.select(key, arrived, "speakers", spoken.alias("segments")).mapInArrow(run, shape)
+    found = spread(df.select(key, arrived, "speakers", spoken.alias("segments"))).mapInArrow(run, shape)
     return first_delivery(found, key, arrived, ["turns"]).select(key, F.inline("turns"))
