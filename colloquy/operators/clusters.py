@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,14 +58,18 @@ def silhouettes(df: DataFrame, key: str, label: str, v: str) -> DataFrame:
     return x.select(key, label, ((b - a) / F.greatest(a, b)).alias("silhouette"))
 
 
-def absorb(df: DataFrame, key: str, label: str, v: str, least: int) -> DataFrame:
-    """key, label: members of clusters smaller than ``least`` go to the nearest centroid of those that are not, the lowest label at a tie;
-    labels are then numbered densely. One round is enough, since the targets do not change."""
-    c = centroids(df, label, v)
-    large = c.filter(F.col("n") >= least).agg(F.collect_list(F.struct(F.col(label).alias("c"), F.col("centroid"))).alias("targets"))
-    sized = df.join(F.broadcast(c.select(label, "n")), label).crossJoin(F.broadcast(large))
-    scored = F.transform("targets", lambda t: F.struct((-F.round(vx.dot(vx.unit(vx.doubles(F.col(v))), t["centroid"]), 9)).alias("s"), t["c"].alias("c")))
-    moved = sized.select(key, F.when((F.col("n") < least) & (F.size("targets") > 0), F.array_min(scored)["c"]).otherwise(F.col(label)).alias("c"))
+def absorb(df: DataFrame, key: str, label: str, v: str, least: float, size: Column | None = None) -> DataFrame:
+    """key, label: members of clusters smaller than ``least`` (in members, or by another aggregate as ``size``) go to the nearest centroid of
+    those that are not, the lowest label at a tie; labels are then numbered densely. One round is enough, since the targets do not change.
+    What is attached to every row is one row for all clusters."""
+    sizes = df.groupBy(label).agg((F.count("*") if size is None else size).alias("__size"))
+    c = centroids(df, label, v).join(sizes, label)
+    every = c.agg(F.collect_list(F.struct(F.col(label).alias("c"), "centroid", (F.col("__size") >= least).alias("large"))).alias("__all"))
+    rows = df.crossJoin(F.broadcast(every))
+    mine = F.element_at(F.filter("__all", lambda t: t["c"] == F.col(label)), 1)["large"]
+    targets = F.filter("__all", lambda t: t["large"])
+    scored = F.transform(targets, lambda t: F.struct((-F.round(vx.dot(vx.unit(vx.doubles(F.col(v))), t["centroid"]), 9)).alias("s"), t["c"].alias("c")))
+    moved = rows.select(key, F.when(~mine & (F.size(targets) > 0), F.array_min(scored)["c"]).otherwise(F.col(label)).alias("c"))
     dense = moved.select("c").distinct().agg(F.array_sort(F.collect_list("c")).alias("order"))
     return moved.crossJoin(F.broadcast(dense)).select(key, (F.array_position("order", F.col("c")) - 1).cast("int").alias(label))
 

@@ -113,24 +113,24 @@ def _samples(spark, sf_dir, expr, kind: T.DataType, f: Callable[[np.ndarray, int
     return first_delivery(t.mapInArrow(run, shape), "request_id", "ingested_at", ["value"]).select("request_id", F.col("value").alias(expr))
 
 
-@query("p02_rms_gate", f"with {REQ}, s as (select request_id, list_transform(list_filter(samples, lambda x: not isnan(x)), lambda x: x::double * x::double) q from rq where len(samples) > 0) select request_id, sqrt(list_sum(q) / len(q)) >= 0.2e0 loud from s where len(q) > 0")
-def p02_rms_gate(spark, sf_dir):
+@query("pred02_rms_gate", f"with {REQ}, s as (select request_id, list_transform(list_filter(samples, lambda x: not isnan(x)), lambda x: x::double * x::double) q from rq where len(samples) > 0) select request_id, sqrt(list_sum(q) / len(q)) >= 0.2e0 loud from s where len(q) > 0")
+def pred02_rms_gate(spark, sf_dir):
     """Whether the root mean square of a request's samples, NaN apart, reaches a level; the array never leaves the JVM or its row."""
     x = F.transform(F.filter("samples", lambda v: v.isNotNull() & ~F.isnan(v)), lambda v: v.cast("double") * v.cast("double"))
     t = table(spark, sf_dir, "asr_requests").select("request_id", "ingested_at", F.when(F.size(x) > 0, F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)) >= 0.2).alias("loud"))
     return first_delivery(t, "request_id", "ingested_at", ["loud"]).filter("loud is not null").drop("ingested_at")
 
 
-@query("p03_energy_vad")
-def p03_energy_vad(spark, sf_dir):
+@query("pred03_energy_vad")
+def pred03_energy_vad(spark, sf_dir):
     """The share of a request's samples in loud frames."""
     return _samples(spark, sf_dir, "speech", T.DoubleType(), lambda x, r: float(fr.energy_vad(x, r, 300, 100, -12.0).mean()) if len(x) else None)
 
 
-@query("p01_speech_fraction")
-def p01_speech_fraction(spark, sf_dir):
+@query("pred01_speech_fraction")
+def pred01_speech_fraction(spark, sf_dir):
     """Requests of which at least 0.4 is speech."""
-    return p03_energy_vad(spark, sf_dir).filter("speech >= 0.4").select("request_id")
+    return pred03_energy_vad(spark, sf_dir).filter("speech >= 0.4").select("request_id")
 
 
 @query("f27_resampled")

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from colloquy.plans import context, core_training, frames, sources, streams, texts, timelines, vectors  # noqa: F401
+    from colloquy.plans import context, core_training, frames, more, sources, streams, texts, timelines, vectors  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,8 +73,8 @@ def k01_sorted_turns(spark, sf_dir):
     return t.select("rec_id", "idx", "place")
 
 
-@query("p15_long_turns", f"with {TL} select {OUT} from tl where en - st >= 0.15e0")
-def p15_long_turns(spark, sf_dir):
+@query("pred15_long_turns", f"with {TL} select {OUT} from tl where en - st >= 0.15e0")
+def pred15_long_turns(spark, sf_dir):
     return timeline(spark, sf_dir).filter(F.col("end") - F.col("start") >= 0.15)
 
 
