@@ -9,19 +9,12 @@ of an earlier one, handed on in the same way. A bucket holds at most ``bucket``
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_MS = 600_000
-
+from colloquy.operators.scan import cut, with_totals
 
-def _with(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows with the totals of their keys, nulls equal."""
-    totals = totals.withColumnsRenamed({k: f"r_{k}" for k in keys})
-    return rows.join(totals, reduce(and_, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys])).drop(*[f"r_{k}" for k in keys])
+BUCKET_MS = 600_000
 
 
 def boundaries(df: DataFrame, entity: list[str], start: str, end: str, bucket: int = BUCKET_MS) -> DataFrame:
@@ -39,12 +32,12 @@ def boundaries(df: DataFrame, entity: list[str], start: str, end: str, bucket: i
     )
     rows = rows.select(*names, F.col("x.t").alias("t"), F.col("x.d").alias("d"), F.floor(F.col("x.t") / bucket).alias("b"))
     sums = rows.groupBy(*keys, "t").agg(F.sum("d").alias("net"), F.count(F.when(F.col("d") > 0, 1)).alias("opened"))
-    events = sums.repartition(*keys)
+    events = cut(sums.repartition(*keys))  # read for the sums of whole buckets and again for the counts inside them
     earlier = Window.partitionBy(*names).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     carried = events.groupBy(*keys).agg(F.sum("net").alias("net"), F.sum("opened").alias("opened"))
     carried = carried.select(*keys, F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("net0"), F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("opened0"))
     inside = Window.partitionBy(*keys).orderBy("t")
-    counted = _with(events, carried, keys).select(
+    counted = with_totals(events, carried, keys).select(
         *keys, "t", "net", "opened",
         (F.col("net0") + F.sum("net").over(inside)).alias("active"), (F.col("opened0") + F.sum("opened").over(inside)).alias("seen"),
     )
@@ -55,7 +48,7 @@ def boundaries(df: DataFrame, entity: list[str], start: str, end: str, bucket: i
     edges = edges.withColumn("prev", F.lag(F.struct("t", "seen")).over(inside))
     handed = edges.groupBy(*keys).agg(F.max(F.struct("t", "seen")).alias("last"))
     handed = handed.select(*keys, F.lag("last").over(Window.partitionBy(*names).orderBy("b")).alias("handed"))
-    whole = _with(edges, handed, keys)
+    whole = with_totals(edges, handed, keys)
     prev = F.coalesce(F.col("prev"), F.col("handed"))
     return whole.select(
         *[F.col(n).alias(c) for c, n in zip(entity, names)],

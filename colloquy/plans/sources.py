@@ -66,7 +66,7 @@ def _raw(spark, sf_dir):
     return first_delivery(table(spark, sf_dir, "raw_transcripts"), "line_id", "delivered_at", ["payload"])
 
 
-@query("s05_documents", f"""with {RAW} select line_id, case when not json_valid(payload) then 'not json' when json_extract_string(payload, '$.schema') is null then 'no schema' when json_extract_string(payload, '$.schema') <> 'lumen-transcript.v1' then 'other schema'
+@query("s05_documents", f"""with {RAW} select line_id, case when not json_valid(payload) then 'not json' when json_extract_string(payload, '$.schema') is null then 'no schema' when not regexp_matches(json_extract_string(payload, '$.schema'), '^[a-z]+-transcript[.]v1$') then 'other schema'
 when json_extract(payload, '$.segments') is null or json_extract_string(payload, '$.segments') is null then 'no segments' end reject from raw""")
 def s05_documents(spark, sf_dir):
     """Which payloads are transcript documents, and why the others are not."""

@@ -9,6 +9,7 @@ from colloquy.functions import text as tx
 from colloquy.operators import tokens as tk
 from colloquy.operators.delivery import first_delivery
 from colloquy.plans.registry import query, table
+from colloquy.sources.timelines import TAG
 
 WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+"
 
@@ -289,9 +290,9 @@ def s19_violations(spark, sf_dir):
     return tk.violations(segments(spark, sf_dir), rules).select("transcript_id", "pos", "violation")
 
 
-@query("c01_discriminator", "select transcript_id, ingested_at, schema_tag is not distinct from 'lumen-transcript.v1' accepted from transcripts")
+@query("c01_discriminator", "select transcript_id, ingested_at, coalesce(regexp_matches(schema_tag, '^[a-z]+-transcript[.]v1$'), false) accepted from transcripts")
 def c01_discriminator(spark, sf_dir):
-    return table(spark, sf_dir, "transcripts").select("transcript_id", "ingested_at", F.col("schema_tag").eqNullSafe("lumen-transcript.v1").alias("accepted"))
+    return table(spark, sf_dir, "transcripts").select("transcript_id", "ingested_at", F.coalesce(F.col("schema_tag").rlike(TAG), F.lit(False)).alias("accepted"))
 
 
 @query("a28_majority", "with c as (select rec_id, lang, count(*) n, min(request_id) f from (select rec_id, request_id, language_hint lang from asr_requests where language_hint is not null and rec_id is not null) group by all) select rec_id, arg_max(lang, (n, -f)) lang from c group by all")

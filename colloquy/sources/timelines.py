@@ -10,7 +10,7 @@ RTTM = "SPEAKER %s 1 %.3f %.3f <NA> <NA> SPEAKER_%02d <NA> <NA>"
 DOCUMENT = """schema string, provenance struct<app:string,app_version:string,engine:string,model:string,language:string,created_at:string>,
 media struct<duration_seconds:double,sample_rate:int,channels:int,content_hash:string>, speakers array<struct<id:string,display_name:string>>,
 segments array<struct<id:string,start:double,`end`:double,text:string,speaker:string,confidence:double,language:string>>"""
-TAG = "lumen-transcript.v1"
+TAG = r"^[a-z]+-transcript\.v1$"  # the values of ``schema`` that name this version
 
 
 def rttm_lines(t: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def read_documents(df: DataFrame, payload: str) -> DataFrame:
     raw = F.try_parse_json(payload)
     doc = F.from_json(payload, DOCUMENT)
     tag = F.get_json_object(payload, "$.schema")
-    why = F.when(raw.isNull(), "not json").when(tag.isNull(), "no schema").when(tag != TAG, "other schema").when(F.get_json_object(payload, "$.segments").isNull(), "no segments")
+    why = F.when(raw.isNull(), "not json").when(tag.isNull(), "no schema").when(~tag.rlike(TAG), "other schema").when(F.get_json_object(payload, "$.segments").isNull(), "no segments")
     return df.withColumns({"raw": raw, "doc": F.when(why.isNull(), doc), "reject": why})
 
 
