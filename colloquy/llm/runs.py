@@ -103,7 +103,8 @@ def collapse(df: DataFrame, entity: str, label: str, start: str, end: str, key:
         F.col(key).cast("long").alias("k"), F.col(start).alias("s"), F.coalesce(end, start).alias("e"),
     )
     found = rows.repartition("ent", "b").sortWithinPartitions("ent", "b", "s", "k").mapInArrow(_walk(max_gap), _FIELDS)
-    # The walk is run once for the inner runs and once for the fragments unless its shuffle is reused, which the planner does.
-    inner = found.filter("not opens and not closes")
-    outer = found.filter("opens or closes").repartition("ent").sortWithinPartitions("ent", "b", "seq").mapInArrow(_stitch(max_gap), _FIELDS)
-    return inner.unionByName(outer).select("ent", "label", F.col("k").alias("first_key"), "n", F.col("first_ms").alias("from_ms"), "to_ms")
+    # One more shuffle, of runs: fragments go by entity, the runs between them anywhere, and pass the second walk as they are.
+    part = F.when(F.col("opens") | F.col("closes"), F.xxhash64("ent")).otherwise(F.xxhash64("ent", "b", "seq"))
+    placed = found.withColumn("part", part).repartition("part").sortWithinPartitions(F.col("opens") | F.col("closes"), "ent", "b", "seq").drop("part")
+    whole = placed.mapInArrow(_stitch(max_gap), _FIELDS)
+    return whole.select("ent", "label", F.col("k").alias("first_key"), "n", F.col("first_ms").alias("from_ms"), "to_ms")
