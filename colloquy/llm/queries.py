@@ -97,7 +97,19 @@ marked as (select *, coalesce(speaker = lag(speaker) over w and s - lag(s) over
 numbered as (select *, sum((not joins)::int) over (partition by rec_id order by s, turn_id rows unbounded preceding) run from marked),
 runs as (select rec_id, any_value(speaker) speaker, arg_min(turn_id, (s, turn_id)) first_turn_id, count(*)::int n_turns, min(s) from_ms, max(greatest(s, coalesce(e, s))) - min(s) duration_ms from numbered group by rec_id, run)"""
 
+_PIECES = """with recursive rq as (select * from asr_requests qualify row_number() over (partition by request_id order by ingested_at nulls last) = 1),
+r as (select request_id, samples, len(samples) n, case when sample_rate > 0 then sample_rate when isfinite(duration_seconds) and duration_seconds > 0 then round_even(len(samples) / duration_seconds, 0)::bigint end rate from rq where samples is not null),
+o as (select * from r where rate > 0 and n > 20 * rate),
+x as (select request_id, rate, generate_subscripts(samples, 1) - 1 i, unnest(samples) v from o),
+q as (select request_id, rate, i, i - row_number() over (partition by request_id order by i) g from x where abs(v) <= 0.02::float),
+m as (select request_id, (min(i) + max(i) + 1) // 2 mid from q group by request_id, rate, g having count(*) * 5 >= any_value(rate)),
+c as (select request_id, 0 piece_no, 0::bigint st, n, rate from o
+union all select c.request_id, c.piece_no + 1, coalesce(max(m.mid), c.st + 20 * c.rate) - c.rate // 2, c.n, c.rate from c left join m on m.request_id = c.request_id and m.mid > c.st + 5 * c.rate and m.mid <= c.st + 20 * c.rate
+  where c.n - c.st > 20 * c.rate group by c.request_id, c.piece_no, c.st, c.n, c.rate)
+select request_id, piece_no, st from_sample, coalesce(lead(st) over (partition by request_id order by piece_no) + rate // 2, n)::bigint to_sample from c"""
+
 SQL: dict[str, str] = {
+    "p3_found": _PIECES,
     "p4_found": _NEAREST + " select word_id, turn_id from best",
     "p4_distances": _NEAREST + " select word_id, turn_id, d distance_ms from best",
     "p7_runs": _RUNS + " select * from runs",
