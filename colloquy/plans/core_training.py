@@ -12,7 +12,9 @@ from colloquy.operators import drift
 from colloquy.operators.delivery import first_delivery
 from colloquy.operators.intervals import periods_and_gaps
 from colloquy.operators.references import dangling_positions, orphan_keys, orphan_references
+from colloquy.functions.labels import NUMBERED
 from colloquy.plans.registry import query, table
+from colloquy.plans.texts import SEG
 
 TURNS = """turns1 as (select * from turns qualify row_number() over (partition by turn_id order by ingested_at nulls last) = 1),
 timed as (select rec_id, speaker, turn_id, s, e from (select *, try_cast(round_even(start_sec * 1000, 0) as bigint) s,
@@ -71,7 +73,23 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-@query("p2_found")
+def _plain(c: str) -> str:
+    return f"regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def _number(c: str) -> str:
+    form = f"trim(lower({c})), '^([a-z]*)[^a-z0-9]*0*([0-9]+)$'"
+    return f"case when regexp_extract({form}, 1) in ({', '.join(repr(x) for x in sorted(NUMBERED))}) then try_cast(nullif(regexp_extract({form}, 2), '') as bigint) end"
+
+
+_SPEAKERS = f"""{SEG}, en as (select transcript_id, unnest(speakers) e from tr), nm as (select transcript_id, e.id own, list_filter(string_split_regex(coalesce(e.display_name, ''), '[\\s,]+'), lambda w: {_plain('w')} <> '') ws, e.display_name dn from en),
+known as (select transcript_id, {_plain('own')} a, {_plain('dn')} b, case when len(ws) > 0 then {_plain('ws[-1]')} || {_plain("array_to_string(ws[:-2], '')")} end c, case when len(ws) > 0 then {_plain('ws[1]')} end d, {_number('own')} k from nm),
+said as (select transcript_id, pos, {_plain('sp')} l, {_number('sp')} k from segs where trim(sp) <> ''),
+loose as (select transcript_id, pos from said s where not exists (select 1 from known e where e.transcript_id = s.transcript_id and ((s.l <> '' and s.l in (e.a, e.b, e.c, e.d)) or s.k = e.k)))"""
+
+
+@query("p2_found", f"""{_REFS}, {_SPEAKERS} select ref_table, ref_id, -1 ref_pos, kind from judged where kind is not null
+union all select 'segments', transcript_id, pos, 'missing' from loose""")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orphan_references(_records(spark, sf_dir), _references(spark, sf_dir))
     rows = rows.select("ref_table", "ref_id", F.lit(-1).alias("ref_pos"), "kind")
@@ -98,7 +116,27 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_delivery(table(spark, sf_dir, "raw_transcripts"), "line_id", "delivered_at", ["feed_id", "file_no", "payload"])
 
 
-@query("p5_found")
+_DRIFT = """with ln as (select * from raw_transcripts qualify row_number() over (partition by line_id order by delivered_at nulls last) = 1),
+good as (select feed_id, file_no, payload::json p from ln where json_valid(payload) and json_type(payload) = 'OBJECT' and feed_id is not null and file_no is not null),
+tree as (select feed_id, file_no, regexp_replace(substr(j.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') path, case j.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end kind,
+  j.value::varchar v from good, json_tree(p) j where j.type <> 'NULL' and j.fullkey <> '$'),
+f as (select feed_id, file_no, path, list_sort(list(distinct kind)) kinds from tree where not ends_with(path, '[]') group by all),
+tg as (select feed_id, file_no, list_sort(list(distinct v)) tags from tree where path = 'schema' group by all),
+pr as (select feed_id, file_no, lag(file_no) over (partition by feed_id order by file_no) prev from (select distinct feed_id, file_no from good) qualify prev is not null),
+now_ as (select pr.feed_id, pr.file_no, path, kinds from pr join f using (feed_id, file_no)),
+was as (select pr.feed_id, pr.file_no, path, kinds from pr join f on f.feed_id = pr.feed_id and f.file_no = pr.prev),
+ch as (select coalesce(n.feed_id, w.feed_id) feed_id, coalesce(n.file_no, w.file_no) file_no, coalesce(n.path, w.path) path, coalesce(n.kinds, w.kinds) kinds,
+  case when w.path is null then 'added' when n.path is null then 'removed' else 'retyped' end what from now_ n full join was w on n.feed_id = w.feed_id and n.file_no = w.file_no and n.path = w.path where n.kinds is distinct from w.kinds),
+top as (select *, case when contains(path, '.') then regexp_replace(path, '[.][^.]*$', '') else '' end up from ch c
+  where not exists (select 1 from ch d where d.feed_id = c.feed_id and d.file_no = c.file_no and (starts_with(c.path, d.path || '.') or starts_with(c.path, d.path || '[]')))),
+one as (select feed_id, file_no, up, max(path) filter (what = 'added') came, max(path) filter (what = 'removed') went from top group by all
+  having count(*) filter (what = 'added') = 1 and count(*) filter (what = 'removed') = 1 and any_value(kinds) filter (what = 'added') = any_value(kinds) filter (what = 'removed'))
+select feed_id, file_no, what drift_kind, path field_path, '' old_path from top anti join one on one.feed_id = top.feed_id and one.file_no = top.file_no and (one.came = top.path or one.went = top.path)
+union all select feed_id, file_no, 'renamed', came, went from one
+union all select pr.feed_id, pr.file_no, 'retagged', 'schema', '' from pr left join tg a on a.feed_id = pr.feed_id and a.file_no = pr.file_no left join tg b on b.feed_id = pr.feed_id and b.file_no = pr.prev where a.tags is distinct from b.tags"""
+
+
+@query("p5_found", _DRIFT)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(drift.profile(_lines(spark, sf_dir), "feed_id", "file_no", "payload")).withColumnRenamed("feed", "feed_id")
 
