@@ -108,7 +108,19 @@ union all select c.request_id, c.piece_no + 1, coalesce(max(m.mid), c.st + 20 *
   where c.n - c.st > 20 * c.rate group by c.request_id, c.piece_no, c.st, c.n, c.rate)
 select request_id, piece_no, st from_sample, coalesce(lead(st) over (partition by request_id order by piece_no) + rate // 2, n)::bigint to_sample from c"""
 
+_WORDS = "string_split(trim(regexp_replace(regexp_replace(lower(text), '\\\\(?:[a-z]+|(?s:.))', ' ', 'g'), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ')"
+_WINDOWS = "select {0}, array_to_string(w[i : i + 11], ' ') g from (select {0}, w, unnest(range(1, len(w) - 10)) i from {1})"
+
+_LEAKS = f"""with d as (select doc_id, {_WORDS} w from documents where text is not null and doc_id is not null), e as (select item_id, {_WORDS} w from eval_items where text is not null and item_id is not null),
+dw as ({_WINDOWS.format("doc_id", "d")}), ew as ({_WINDOWS.format("item_id", "e")}) select distinct doc_id, item_id from dw join ew using (g)"""
+
+_SPANS = """with w as (select doc_id, text, unnest(range(1, len(text) - 248)) i from documents where len(text) >= 250 and doc_id is not null),
+h as (select distinct doc_id, md5(substring(text, i, 250)) h from w), k as (select h from h group by h having count(*) > 1)
+select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from h a join k using (h) join h b using (h) where a.doc_id < b.doc_id"""
+
 SQL: dict[str, str] = {
+    "p9_found": _LEAKS,
+    "p10_found": _SPANS,
     "p3_found": _PIECES,
     "p4_found": _NEAREST + " select word_id, turn_id from best",
     "p4_distances": _NEAREST + " select word_id, turn_id, d distance_ms from best",
