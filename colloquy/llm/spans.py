@@ -7,12 +7,13 @@ contains the anchor; where two different texts share a stretch, the anchor neare
 regions of an anchor meet in one shard, where they are put into an FM-index (:mod:`.fmindex`) and are streamed through it
 again: backward search gives the matching statistics, and matches of at least ``min_len`` are the links.
 
-Exact copies of a whole text are one class. Up to ``expand`` members a class is written out in pairs; a larger one is given as
-pairs of its representative (the least id) with each member, and its links to other texts as links of the representative.
-The same holds for a stretch that more than ``expand`` texts share: each is linked to the least id.
+Exact copies of a whole text are one class, and only its representative (the least id) is searched. Up to ``COPIES_MOST`` members
+a class is written out in pairs; a larger one is given as pairs of its representative with each member, and its links to other
+texts as links of the representative. Different texts that share a stretch are given in all their pairs, however many they are,
+unless the caller names an ``expand``: then classes, and stretches, of more than so many texts are given by their least id.
 
 Defined results: null texts and texts under ``min_len`` characters have no links; a null id is left out; rows that repeat an id
-count once in the output; an empty table gives an empty table. Length is in code points.
+(and its text) count once in the output; an empty table gives an empty table. Length is in code points.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ GRAM = 128
 SLICE_BYTES = 1 << 18
 SEEN_MOST = 100_000
 BLOCK = 400_000
+COPIES_MOST = 64
+PAIRS_AT_ONCE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -125,13 +128,12 @@ def _anchor_rows(min_len: int, gram: int):
     return run
 
 
-def _block_pairs(texts: list[np.ndarray], region: np.ndarray, doc: np.ndarray, stream: list[int], min_len: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one index block. region[i], doc[i]: which documents hold which region; stream: the regions searched for."""
+def _block_pairs(texts: list[np.ndarray], region: np.ndarray, doc: np.ndarray, stream: list[int], min_len: int, expand: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of one index block, in parts. region[i], doc[i]: which documents hold which region; stream: the regions searched for."""
     index = FMIndex(texts)
     hit, _, _, at = index.matching_statistics([texts[i] for i in stream], np.array(stream, dtype=np.int64), min_len)
-    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(hit):
-        return a, b
+        return
     stretch = index.runs(min_len)[at]
     seen = np.unique(np.stack([stretch, np.asarray(stream)[hit]]), axis=1)
     order = np.argsort(region, kind="stable")
@@ -139,7 +141,39 @@ def _block_pairs(texts: list[np.ndarray], region: np.ndarray, doc: np.ndarray, s
     count = (first[1:] - first[:-1])[seen[1]]
     rows = np.repeat(first[seen[1]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     members = np.unique(np.stack([np.repeat(seen[0], count), doc[order][rows]]), axis=1)
-    return linked(members[0], members[1], expand)
+    if expand is None:
+        yield from every_pair(members[0], members[1])
+    else:
+        yield linked(members[0], members[1], expand)
+
+
+def every_pair(group: np.ndarray, member: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of the members of each group (sorted by group, member), each pair once. They are made member by member, so that about
+    ``PAIRS_AT_ONCE`` are held, or those of one member, whatever the size of a group."""
+    edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+    alike: dict[bytes, int] = {}  # neighbouring stretches stand in the same texts
+    for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+        alike.setdefault(xxhash.xxh3_128_digest(np.ascontiguousarray(member[i:j])), k)
+    kept = np.array(sorted(alike.values()), dtype=np.int64)
+    first, last = edges[kept], edges[kept + 1]
+    size = last - first
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    after = np.repeat(last, size) - at - 1  # the later members of the group
+    order = np.argsort(member[at], kind="stable")
+    at, after = at[order], after[order]
+    total = np.cumsum(after)
+    ends = np.append(np.flatnonzero(np.diff(member[at])) + 1, len(at))  # whole members only
+    i = 0
+    while i < len(at):
+        done = total[i - 1] if i else 0
+        fit = ends[(ends > i) & (total[ends - 1] - done <= PAIRS_AT_ONCE)]
+        j = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, i, side="right")])
+        n = after[i:j]
+        right = np.repeat(at[i:j] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair = np.unique(np.stack([np.repeat(member[at[i:j]], n), member[right]]), axis=1)
+        if pair.shape[1]:
+            yield pair[0], pair[1]
+        i = j
 
 
 def linked(group: np.ndarray, member: np.ndarray, expand: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +193,7 @@ def linked(group: np.ndarray, member: np.ndarray, expand: int) -> tuple[np.ndarr
     return pair[0], pair[1]
 
 
-def _search(min_len: int, expand: int):
+def _search(min_len: int, expand: int | None):
     """Fills blocks with whole anchors; an anchor that is larger than a block is indexed in blocks and streamed through each."""
     kind = pa.schema([("doc_id_a", pa.int64()), ("doc_id_b", pa.int64())])
 
@@ -182,9 +216,9 @@ def _search(min_len: int, expand: int):
             local = np.full(len(texts), -1)
             local[pool] = np.arange(len(pool))
             held = local[region] >= 0
-            a, b = _block_pairs([texts[i] for i in pool], local[region[held]], doc[held], list(range(len(pool))), min_len, expand)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=kind)
+            for a, b in _block_pairs([texts[i] for i in pool], local[region[held]], doc[held], list(range(len(pool))), min_len, expand):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[tuple[list[str], list[int]]] = []
@@ -214,7 +248,7 @@ def copy_classes(docs: DataFrame) -> DataFrame:
     return keyed.join(sizes, ["key", "len"]).select("doc_id", "rep", "n").distinct()
 
 
-def shared_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", min_len: int = 250, gram: int = GRAM, expand: int = 64) -> DataFrame:
+def shared_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", min_len: int = 250, gram: int = GRAM, expand: int | None = None) -> DataFrame:
     """doc_id_a, doc_id_b (the smaller first) of documents that share a stretch of at least ``min_len`` characters."""
     if not 1 <= gram <= min_len:
         raise ValueError("gram must lie between 1 and min_len")
@@ -223,22 +257,21 @@ def shared_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", min_l
     rows = spread(docs).mapInArrow(_anchor_rows(min_len, gram), "fp long, around long, doc long, pos int")
     shared = rows.groupBy("fp").agg(F.min("around").alias("a0"), F.max("around").alias("a1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"))
     shared = shared.filter("a0 <> a1 and d0 <> d1").select("fp")
-    wanted = rows.join(shared, "fp").groupBy("doc").agg(F.collect_set(F.struct("fp", "pos")).alias("at"))
+    copies = copy_classes(docs)
+    rep = copies.select("doc_id", "rep")
+    wanted = rows.join(shared, "fp").join(rep, F.col("doc") == F.col("doc_id"), "left").withColumn("doc", F.coalesce("rep", "doc"))
+    wanted = wanted.groupBy("doc").agg(F.collect_set(F.struct("fp", "pos")).alias("at"))
     regions = wanted.join(docs, F.col("doc") == F.col("doc_id")).select("doc", F.explode("at").alias("at"), "text")
     begin = F.greatest(F.col("at.pos") + F.lit(gram - min_len), F.lit(0))
     regions = regions.select(F.col("at.fp").alias("fp"), "doc", F.substring("text", begin + 1, F.col("at.pos") + F.lit(min_len) - begin).alias("region"))
     found = regions.repartition("fp").sortWithinPartitions("fp").mapInArrow(_search(min_len, expand), "doc_id_a long, doc_id_b long").distinct()
 
-    copies = copy_classes(docs)
-    rep = copies.select("doc_id", "rep")
-    for side in ("doc_id_a", "doc_id_b"):
-        found = found.join(rep.withColumnRenamed("doc_id", side).withColumnRenamed("rep", "r"), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
-    found = found.filter("doc_id_a <> doc_id_b").distinct()
-    small = copies.filter(F.col("n") <= expand).select(F.col("rep").alias("r"), F.col("doc_id").alias("member"))
+    most = COPIES_MOST if expand is None else expand
+    small = copies.filter(F.col("n") <= most).select(F.col("rep").alias("r"), F.col("doc_id").alias("member"))
     for side in ("doc_id_a", "doc_id_b"):
         found = found.join(small.withColumnRenamed("r", side), side, "left").withColumn(side, F.coalesce("member", side)).drop("member")
     found = found.select("doc_id_a", "doc_id_b")
     within = small.join(small.withColumnRenamed("member", "other"), "r").filter("member < other").select(F.col("member").alias("doc_id_a"), F.col("other").alias("doc_id_b"))
-    star = copies.filter((F.col("n") > expand) & (F.col("doc_id") != F.col("rep"))).select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
+    star = copies.filter((F.col("n") > most) & (F.col("doc_id") != F.col("rep"))).select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
     pair = found.unionByName(within).unionByName(star)
     return pair.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b")).distinct()

@@ -293,6 +293,33 @@ def test_shared_pairs_of_hot_groups(spark):
     assert spans.shared_pairs(df.limit(0), min_len=40, gram=20).count() == 0
 
 
+def test_every_pair_of_a_hot_stretch(spark, monkeypatch):
+    """More different texts than any bound share one stretch, beside copies in many splits: every pair of different texts comes out."""
+    monkeypatch.setattr(spans, "PAIRS_AT_ONCE", 100)
+    rnd = random.Random(13)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    stretch, other = word(90), word(60)
+    texts = [(k, stretch + word(60)) for k in range(80)] + [(k, word(20) + stretch[10:80] + word(20)) for k in (80, 81)]
+    copy = word(50) + other + word(50)
+    copied = [(k, copy) for k in range(100, 170)]
+    rest = [(200, word(30) + other + word(30)), (201, other + word(30))]
+    df = spark.createDataFrame(texts + copied + rest, "doc_id long, text string").repartition(80)
+    got = [tuple(r) for r in spans.shared_pairs(df, min_len=40, gram=20).collect()]
+    want = brute_pairs(texts + copied[:1] + rest, 40) | {(100, k) for k in range(101, 170)}
+    assert len(got) == len(set(got)) and set(got) == want and (200, 201) in want and len(want) > 80 * 79 // 2
+
+
+def test_every_pair_equals_loop(monkeypatch):
+    monkeypatch.setattr(spans, "PAIRS_AT_ONCE", 7)
+    rnd = random.Random(14)
+    for _ in range(100):
+        sets = [set(rnd.sample(range(30), rnd.randint(1, 12))) for _ in range(rnd.randint(1, 8))]
+        flat = sorted((g, m) for g, s in enumerate(sets) for m in s)
+        group, member = (np.array(x) for x in zip(*flat))
+        got = [p for a, b in spans.every_pair(group, member) for p in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and set(got) == {(x, y) for s in sets for x in s for y in s if x < y}
+
+
 def test_an_anchor_over_a_block_is_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(spans, "BLOCK", 500)
     rnd = random.Random(11)
