@@ -3,7 +3,7 @@
 Anchors route the work: of every ``min_len - gram + 1`` neighbouring grams of a text the one with the least hash is an anchor
 (winnowing), so two texts that share ``min_len`` characters share an anchor inside them. Around an anchor that stands in
 several texts with different surroundings lies a *region*, long enough to hold every shared stretch of ``min_len`` that
-contains the anchor; where two different texts share a stretch, the anchor nearest to the stretch's end has such regions. The
+contains the anchor and one character more on each side, in which the texts differ at the stretch's end, or one of them ends; where two different texts share a stretch, the anchor nearest to the stretch's end has such regions. The
 regions of an anchor meet in one shard, where they are put into an FM-index (:mod:`.fmindex`) and are streamed through it
 again: backward search gives the matching statistics, and matches of at least ``min_len`` are the links.
 
@@ -94,7 +94,7 @@ def anchors(flat: np.ndarray, off: np.ndarray, min_len: int, gram: int) -> tuple
     first = np.maximum.accumulate(np.where(same_left, 0, np.arange(len(at))))
     at = at[~(same_left & same_right) | ((np.arange(len(at)) - first) % w == 0)]
     doc = np.searchsorted(off, at, side="right") - 1
-    begin, end = np.maximum(at + gram - min_len, off[doc]), np.minimum(at + min_len, off[doc + 1])
+    begin, end = np.maximum(at + gram - min_len - 1, off[doc]), np.minimum(at + min_len + 1, off[doc + 1])
     around = (total[end] - total[begin]) * _power("down", n + 1)[begin]
     around = _scramble(around + (end - begin).astype(np.uint64) * np.uint64(0x94D049BB133111EB) + (at - begin).astype(np.uint64))
     return doc, at - off[doc], h[at], around
@@ -262,8 +262,8 @@ def shared_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", min_l
     wanted = rows.join(shared, "fp").join(rep, F.col("doc") == F.col("doc_id"), "left").withColumn("doc", F.coalesce("rep", "doc"))
     wanted = wanted.groupBy("doc").agg(F.collect_set(F.struct("fp", "pos")).alias("at"))
     regions = wanted.join(docs, F.col("doc") == F.col("doc_id")).select("doc", F.explode("at").alias("at"), "text")
-    begin = F.greatest(F.col("at.pos") + F.lit(gram - min_len), F.lit(0))
-    regions = regions.select(F.col("at.fp").alias("fp"), "doc", F.substring("text", begin + 1, F.col("at.pos") + F.lit(min_len) - begin).alias("region"))
+    begin = F.greatest(F.col("at.pos") + F.lit(gram - min_len - 1), F.lit(0))
+    regions = regions.select(F.col("at.fp").alias("fp"), "doc", F.substring("text", begin + 1, F.col("at.pos") + F.lit(min_len + 1) - begin).alias("region"))
     found = regions.repartition("fp").sortWithinPartitions("fp").mapInArrow(_search(min_len, expand), "doc_id_a long, doc_id_b long").distinct()
 
     most = COPIES_MOST if expand is None else expand

@@ -293,6 +293,19 @@ def test_shared_pairs_of_hot_groups(spark):
     assert spans.shared_pairs(df.limit(0), min_len=40, gram=20).count() == 0
 
 
+def test_prefixes_and_suffixes_of_other_texts(spark):
+    """Many texts that go on before or after another's end: each pair has nothing but the shared end to tell its texts apart."""
+    rnd = random.Random(15)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for k in range(0, 1200, 2):
+        t, more = word(rnd.randint(40, 90)), word(rnd.randint(1, 60))
+        texts += [(k, t), (k + 1, t + more if k % 4 else more + t)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [tuple(r) for r in spans.shared_pairs(df, min_len=40, gram=20).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(texts, 40) and len(got) >= 600
+
+
 def test_every_pair_of_a_hot_stretch(spark, monkeypatch):
     """More different texts than any bound share one stretch, beside copies in many splits: every pair of different texts comes out."""
     monkeypatch.setattr(spans, "PAIRS_AT_ONCE", 100)
