@@ -95,40 +95,112 @@ def two_gaussian_threshold(scores: np.ndarray, steps: int = 20) -> float:
     return float(mean.mean() + var * np.log(max(weight[0], 1e-300) / max(weight[1], 1e-300)) / gap)
 
 
-def average_linkage(v: np.ndarray, cut: float, most: int) -> np.ndarray:
-    """Labels by average linkage on cosine distance, merged while the closest two lie within ``cut`` or more than ``most`` clusters remain;
-    numbered by first occurrence."""
+def linkage_steps(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The merges of average linkage on cosine distance down to one cluster, in order: the two clusters, each named by its first vector and the
+    lower one kept, and their distance."""
     n = len(v)
     if n > LINK_MOST:
         raise ValueError(f"a recording of {n} vectors is over the {LINK_MOST} that linkage takes")
     u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     d = np.clip(1.0 - u @ u.T, 0.0, 2.0)
     np.fill_diagonal(d, np.inf)
-    size, owner, left = np.ones(n), np.arange(n), n
+    size = np.ones(n)
+    pairs, apart = np.zeros((max(n - 1, 0), 2), dtype=np.int64), np.zeros(max(n - 1, 0))
     near = d.argmin(axis=1) if n > 1 else np.zeros(n, int)
     alive = np.ones(n, bool)
-    while left > 1:
+    for step in range(n - 1):
         best = np.where(alive, d[np.arange(n), near], np.inf)
         i = int(best.argmin())
         j = int(near[i])
-        if best[i] > cut and left <= most:
-            break
+        apart[step] = best[i]
         i, j = min(i, j), max(i, j)
+        pairs[step] = i, j
         row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
         row[i] = np.inf
         d[i], d[:, i] = row, row
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         alive[j] = False
-        owner[owner == j] = i
-        left -= 1
         stale = alive & ((near == i) | (near == j) | (np.arange(n) == i))
         near[stale] = d[stale].argmin(axis=1)
         closer = alive & (d[:, i] < d[np.arange(n), near])
         near[closer] = i
+    return pairs, apart
+
+
+def labels_of(pairs: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Labels of the k clusters that are left after the first merges, numbered by first occurrence."""
+    owner = np.arange(n)
+    for i, j in pairs[: n - min(max(k, 1), n)]:
+        owner[owner == j] = i
     return first_occurrence(owner)
 
 
+def average_linkage(v: np.ndarray, cut: float, most: int) -> np.ndarray:
+    """Labels by average linkage on cosine distance, merged while the closest two lie within ``cut`` or more than ``most`` clusters remain;
+    numbered by first occurrence."""
+    n = len(v)
+    pairs, apart = linkage_steps(v)
+    stop = np.flatnonzero((apart > cut) & (n - np.arange(len(apart)) <= most))
+    return labels_of(pairs, n, n - int(stop[0]) if len(stop) else 1)
+
+
+def mean_silhouettes(u: np.ndarray, labelings: list[np.ndarray], rows: int = 1024) -> list[float]:
+    """The mean silhouette under cosine distance of the unit vectors under each labeling; a vector alone is at distance 0 from its own cluster."""
+    n, total = len(u), np.zeros(len(labelings))
+    member = [np.eye(int(x.max()) + 1)[x] for x in labelings]
+    for i in range(0, n, rows):
+        at = np.arange(i, min(i + rows, n))
+        d = np.clip(1.0 - u[at] @ u.T, 0.0, 2.0)
+        d[at - i, at] = 0.0
+        for m, (labels, one) in enumerate(zip(labelings, member)):
+            size, far = one.sum(axis=0), d @ one
+            own = labels[at]
+            a = far[at - i, own] / np.maximum(size[own] - 1, 1)
+            mean = far / size
+            mean[at - i, own] = np.inf
+            b = mean.min(axis=1)
+            total[m] += np.where((a == 0) & (b == 0), 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300)).sum()
+    return (total / n).tolist()
+
+
+def absorb_few(u: np.ndarray, labels: np.ndarray, least: int) -> np.ndarray:
+    """Members of clusters of fewer than ``least`` unit vectors go to the nearest centroid of the others; numbered densely in the order of labels."""
+    size = np.bincount(labels)
+    large = np.flatnonzero(size >= least)
+    move = size[labels] < least
+    if len(large) and move.any():
+        c = np.stack([u[labels == k].mean(axis=0) for k in large])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        labels = labels.copy()
+        labels[move] = large[(u[move] @ c.T).argmax(axis=1)]
+    return np.unique(labels, return_inverse=True)[1]
+
+
+def calibrated_linkage(v: np.ndarray, bias: float = 0.0, most: int = 8, force_k: int | None = None, allow_single: bool = False) -> np.ndarray:
+    """Labels by average linkage, cut at the calibrated threshold. Where that leaves more than ``most`` clusters or only one, the number from 2 to
+    ``most`` with the best mean silhouette is taken, the least of equals; ``force_k`` takes so many in any case, ``allow_single`` accepts the one.
+    Clusters of fewer than 3 to 8 vectors, a twentieth of all between, are absorbed at the end."""
+    n = len(v)
+    if n < 2:
+        return np.zeros(n, dtype=np.int64)
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    pairs, apart = linkage_steps(v)
+    if force_k is not None:
+        labels = labels_of(pairs, n, force_k)
+    else:
+        cut = max(1e-6, 1.0 - (two_gaussian_threshold((u @ u.T)[np.triu_indices(n, 1)]) + bias))
+        over = np.flatnonzero(apart > cut)
+        k = n - int(over[0]) if len(over) else 1
+        if k < 2 and allow_single:
+            return np.zeros(n, dtype=np.int64)
+        if not 2 <= k <= most:
+            tried = [labels_of(pairs, n, x) for x in range(2, min(most, n) + 1)]
+            k = 2 + int(np.argmax(mean_silhouettes(u, tried))) if tried else 2
+        labels = labels_of(pairs, n, k)
+    return absorb_few(u, labels, max(3, min(8, n // 20)))
+
+
 def first_occurrence(labels: np.ndarray) -> np.ndarray:
     return pd.factorize(labels)[0]
 
@@ -175,8 +247,8 @@ def hmm_refine(x: np.ndarray, labels: np.ndarray, loop: float = 0.9, sharp: floa
     return out if out.max(initial=0) >= 1 else None
 
 
-def cluster_recordings(df: DataFrame, rec: str, key: str, v: str, bias: float = 0.0, most: int = 8, refine: bool = False) -> DataFrame:
-    """rec, key, cluster of each vector: threshold by calibration, linkage, and optionally the Markov refinement."""
+def cluster_recordings(df: DataFrame, rec: str, key: str, v: str, bias: float = 0.0, most: int = 8, refine: bool = False, force_k: int | None = None, allow_single: bool = False) -> DataFrame:
+    """rec, key, cluster of each vector: threshold by calibration, linkage (see ``calibrated_linkage``), and optionally the Markov refinement."""
     kind = df.schema
     shape = f"`{rec}` {kind[rec].dataType.simpleString()}, `{key}` {kind[key].dataType.simpleString()}, cluster int"
 
@@ -184,9 +256,7 @@ def cluster_recordings(df: DataFrame, rec: str, key: str, v: str, bias: float =
         pdf = pdf.sort_values(key)
         x = np.array(pdf[v].tolist(), dtype=float)
         u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        s = (u @ u.T)[np.triu_indices(len(u), 1)]
-        cut = max(1e-6, 1.0 - (two_gaussian_threshold(s) + bias))
-        labels = first_occurrence(average_linkage(x, cut, most))
+        labels = calibrated_linkage(x, bias, most, force_k, allow_single)
         if refine and labels.max(initial=0) >= 1:
             better = hmm_refine(u * np.sqrt(x.shape[1]), labels)
             labels = labels if better is None else better

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -135,6 +136,73 @@ def test_linkage_equals_loop():
         assert (clusters.average_linkage(v, 0.6, 8) == clusters.first_occurrence(want)).all()
 
 
+def linked_loop(v, most, force_k=None):
+    """Labels as the reference has them, by plain loops: cut, the best silhouette where the cut leaves too many or one, small clusters absorbed."""
+    n = len(v)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = np.clip(1 - u @ u.T, 0, 2)
+    c, at, apart = [[i] for i in range(n)], {n: np.arange(n)}, []
+    while len(c) > 1:
+        m, i, j = min((np.mean([d[x, y] for x in c[i] for y in c[j]]), i, j) for i in range(len(c)) for j in range(i + 1, len(c)))
+        c[i] += c.pop(j)
+        apart.append(m)
+        at[len(c)] = clusters.first_occurrence(np.array([next(k for k, x in enumerate(c) if i in x) for i in range(n)]))
+
+    def silhouette(labels):
+        out = []
+        for i in range(n):
+            far = {k: [d[i, j] for j in range(n) if j != i and labels[j] == k] for k in set(labels.tolist())}
+            a = np.mean(far[labels[i]]) if far[labels[i]] else 0.0
+            b = min(np.mean(x) for k, x in far.items() if k != labels[i])
+            out.append(0.0 if a == b == 0 else (b - a) / max(a, b))
+        return np.mean(out)
+
+    cut = max(1e-6, 1 - clusters.two_gaussian_threshold((u @ u.T)[np.triu_indices(n, 1)]))
+    first = k = n - sum(1 for _ in itertools.takewhile(lambda m: m <= cut, apart))
+    if force_k:
+        k = force_k
+    elif not 2 <= k <= most:
+        k = max(range(2, min(most, n) + 1), key=lambda x: (round(silhouette(at[x]), 12), -x))
+    labels, least = at[k].tolist(), max(3, min(8, n // 20))
+    size = Counter(labels)
+    large = [x for x in sorted(size) if size[x] >= least]
+    if large:
+        cen = {x: u[[y == x for y in labels]].mean(axis=0) for x in large}
+        labels = [x if size[x] >= least else max(large, key=lambda g: (u[i] @ cen[g] / np.linalg.norm(cen[g]), -g)) for i, x in enumerate(labels)]
+    return first, [sorted(set(labels)).index(x) for x in labels]
+
+
+def test_number_of_clusters_by_silhouette(spark):
+    """Cuts that leave too many clusters, one, or a number within the range."""
+    rng = np.random.default_rng(4)
+    recs, firsts = {}, set()
+    for r in range(12):
+        v = rng.normal(size=(int(rng.integers(12, 40)), 6)) + 4 * np.eye(6)[rng.integers(0, r % 4 + 1, 1)] * (r % 2)
+        if r in (7, 8, 9):  # many tight groups
+            v = np.repeat(rng.normal(size=(14, 12)), 3 + r % 2, axis=0)
+            v = v + 0.05 * rng.normal(size=v.shape)
+        if r == 10:
+            v = np.ones((20, 6)) + 1e-9 * rng.normal(size=(20, 6))
+        recs[r] = v
+    rows = [(r, i, x.tolist()) for r, v in recs.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "rec int, vec_id int, v array<double>")
+    for most, force in ((4, None), (8, 5)):
+        got = {}
+        kw = {"force_k": force} if force else {}
+        for x in sorted(clusters.cluster_recordings(df, "rec", "vec_id", "v", most=most, **kw).collect()):
+            got.setdefault(x.rec, []).append(x.cluster)
+        for r, v in recs.items():
+            if r == 10:
+                continue
+            first, want = linked_loop(v, most, force)
+            firsts.add("many" if first > most else "one" if first < 2 else "fit")
+            assert got[r] == want, r
+    assert firsts == {"many", "one", "fit"}
+    same = recs[10]
+    assert clusters.calibrated_linkage(same, 0.0, 8, None, True).max() == 0
+    assert clusters.calibrated_linkage(same[:1]).tolist() == [0] and clusters.labels_of(clusters.linkage_steps(same)[0], 20, 3).max() == 2
+
+
 def test_known_vectors():
     assert np.isfinite(clusters.two_gaussian_threshold(np.r_[np.full(25, 0.1), np.full(25, 0.9)]))
     classes = powerset_classes(4, 2)
