@@ -57,6 +57,20 @@ def window_starts(n: Column, size: int, hop: int) -> Column:
     return F.when(n <= size, F.array(F.lit(0).cast("long"))).when(last + size < n, F.concat(regular, F.array((n - size).cast("long")))).otherwise(regular)
 
 
+def window_rows(df: DataFrame, n: str, size: int, hop: int, flush: bool, block: int = 1 << 16) -> DataFrame:
+    """df without n, and start: a row for each window of ``size`` every ``hop`` over n samples, with ``flush`` the last flush with the end. The
+    starts of a row are made in blocks of ``block``, so n may be of any size."""
+    rest = [c for c in df.columns if c != n]
+    last = F.expr(f"greatest(`{n}` - {size}, 0) div {hop}")
+    blocks = df.withColumn("__last", last).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"__last div {block}"))))
+    numbers = F.sequence(F.col("__b") * block, F.least(F.col("__b") * block + block - 1, F.col("__last")))
+    rows = blocks.select(*rest, F.explode(numbers).alias("__k")).select(*rest, (F.col("__k") * hop).alias("start"))
+    if not flush:
+        return rows
+    over = df.withColumn("__last", last).filter((F.col(n) > size) & (F.col("__last") * hop + size < F.col(n)))
+    return rows.unionByName(over.select(*rest, (F.col(n) - size).alias("start")))
+
+
 def powerset_classes(speakers: int, at_once: int) -> list[list[int]]:
     """Speakers of each class: none, then each, then each pair and so on, in order."""
     from itertools import combinations

@@ -222,3 +222,22 @@ def test_first_accepted_and_reading_order(spark):
     assert fused == {3: (0, 2, True, 3), 2: (1, 1, False, None), 4: (2, 1, False, 3), 6: (3, 1, False, None)}
     page = spark.createDataFrame([(1, 0.5, 0.8, 0.1, "b"), (1, 0.1, 0.81, 0.1, "a "), (1, 0.1, 0.2, 0.1, "c"), (1, 0.1, 0.2, 0.1, " ")], "page long, x double, y double, h double, text string")
     assert context.reading_order(page).collect()[0].text == "a\nb\nc"
+
+
+def test_windows_of_recordings_of_any_length(spark, tmp_path):
+    from colloquy.plans import registry
+
+    lens = {"a": 5.0, "b": 86399.0, "c": 86400.0, "d": 200_000.3, "e": 16.1, "f": 24.0}
+    rows = [(k, v) for k, v in lens.items()] + [("g", float("nan")), ("h", float("inf")), ("i", None), ("j", -1.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "rec_id string, duration_seconds double").selectExpr("*", "timestamp'2026-01-01' ingested_at")
+    df.write.parquet(f"{tmp_path}/recordings.parquet")
+
+    def loop(n, size, hop, flush):
+        out = list(range(0, max(n - size, 0) + 1, hop))
+        return out + [n - size] * (flush and n > size and out[-1] + size < n)
+
+    for name, rate, size, hop, flush in (("m11_every_window", 10, 160, 80, True), ("m10_every_window", 100, 150, 75, False)):
+        got = {}
+        for r in registry.queries()[name](spark, str(tmp_path)).toPandas().itertuples():
+            got.setdefault(r.rec_id, []).append(r.start)
+        assert {k: sorted(v) for k, v in got.items()} == {k: loop(round(v * rate), size, hop, flush) for k, v in lens.items()}
