@@ -88,23 +88,37 @@ said as (select transcript_id, pos, {_plain('sp')} l, {_number('sp')} k from seg
 loose as (select transcript_id, pos from said s where not exists (select 1 from known e where e.transcript_id = s.transcript_id and ((s.l <> '' and s.l in (e.a, e.b, e.c, e.d)) or s.k = e.k)))"""
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_delivery(dangling_positions(table(spark, sf_dir, "transcripts"), "transcript_id", "ingested_at"), "transcript_id", "ingested_at", ["places"])
+
+
 @query("p2_found", f"""{_REFS}, {_SPEAKERS} select ref_table, ref_id, -1 ref_pos, kind from judged where kind is not null
 union all select 'segments', transcript_id, pos, 'missing' from loose""")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orphan_references(_records(spark, sf_dir), _references(spark, sf_dir))
     rows = rows.select("ref_table", "ref_id", F.lit(-1).alias("ref_pos"), "kind")
-    places = first_delivery(dangling_positions(table(spark, sf_dir, "transcripts"), "transcript_id", "ingested_at"), "transcript_id", "ingested_at", ["places"])
-    inner = places.select(F.lit("segments").alias("ref_table"), F.col("transcript_id").alias("ref_id"), F.explode("places").alias("ref_pos"), F.lit("missing").alias("kind"))
+    inner = _places(spark, sf_dir).select(F.lit("segments").alias("ref_table"), F.col("transcript_id").alias("ref_id"), F.explode("places").alias("ref_pos"), F.lit("missing").alias("kind"))
     return rows.unionByName(inner)
 
 
 @query("p2_orphan_report", _REFS + " select ref_table, kind, strftime(arrived_at, '%Y-%m') period, count(*) n from judged where kind is not null group by all")
 def p2_orphan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphan references per table and month of arrival."""
+    """Orphan references by rec_id per table and month of arrival, as the SQL has it (with those of segments: p2_whole_report)."""
     rows = orphan_references(_records(spark, sf_dir), _references(spark, sf_dir))
     return rows.groupBy("ref_table", "kind", F.date_format("arrived", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"))
 
 
+@query("p2_whole_report", f"""{_REFS}, {_SPEAKERS}, every as (select ref_table, kind, arrived_at from judged where kind is not null
+  union all select 'segments', 'missing', ingested_at from loose join tr using (transcript_id))
+select ref_table, kind, strftime(arrived_at, '%Y-%m') period, count(*) n from every group by all""")
+def p2_whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference of p2_found, those of segments to speakers included, per table and month of arrival."""
+    rows = orphan_references(_records(spark, sf_dir), _references(spark, sf_dir)).select("ref_table", "kind", "arrived")
+    inner = _places(spark, sf_dir).select(F.lit("segments").alias("ref_table"), F.lit("missing").alias("kind"), F.col("ingested_at").alias("arrived"), F.explode("places").alias("place"))
+    rows = rows.unionByName(inner.drop("place"))
+    return rows.groupBy("ref_table", "kind", F.date_format("arrived", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"))
+
+
 @query("p2_orphan_keys", _REFS + """, now as (select refs.rec_id key, count(*) referring, coalesce(any_value(case when r.rec_id is null then 0 when r.deleted_at is null then 1 else 0 end), 0) existing
 from refs left join recs r on r.rec_id = refs.rec_id where refs.rec_id is not null group by all) select key, existing, referring from now where existing <= 0""")
 def p2_orphan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

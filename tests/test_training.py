@@ -111,3 +111,14 @@ def test_drift(spark):
     one = drift.unify(df.withColumn("line_id", F.monotonically_increasing_id()), drift.unified_names(drift.changes(p), p), "feed", "file_no", "payload", "line_id").filter("file_no = 1").collect()
     assert any(r["values"].get("b") == "1" for r in one)
     assert drift.changes(drift.profile(df.limit(0), "feed", "file_no", "payload")).count() == 0
+
+
+def test_report_holds_every_reference_found(spark, sf):
+    from colloquy.plans import registry
+
+    q = registry.queries()
+    found = {(r.ref_table, r.kind): r["count"] for r in q["p2_found"](spark, sf).groupBy("ref_table", "kind").count().collect()}
+    report = {}
+    for r in q["p2_whole_report"](spark, sf).collect():
+        report[r.ref_table, r.kind] = report.get((r.ref_table, r.kind), 0) + r.n
+    assert report == found and found["segments", "missing"] > 0
