@@ -3,9 +3,9 @@
 Every JSON document is profiled: the paths of its members, their JSON types and a sketch of their values (the least hashes of the
 values seen). Profiles are unions of sets, so they are reduced per batch and again per file before anything is compared. Between
 a file and its predecessor, the fields that went and the fields that came under one parent form a bipartite graph, weighed by
-type, by likeness of the names and by overlap of the value sketches; an optimal matching of it proposes the renames. A
-proposal stands where it is unambiguous: one field went, one came, of the same type. Matched columns are unified into one name,
-the newest of their chain.
+type, by likeness of the names and by overlap of the value sketches; an optimal matching of it proposes the renames. As a
+change, a proposal stands where it is unambiguous: one field went, one came, of the same type. Columns are unified into one name, the
+newest of their chain, by these and, where several fields went or came, by the pairs of the matching that score ``LIKELY`` or more.
 
 Defined results: documents that are no JSON object are left out, as are rows without feed or file number; members that are only
 ever null do not exist; an object without members and an empty list are fields, not parents. A feed's first file drifts from nothing.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 SKETCH = 8
 TAG = "schema"
+LIKELY = 1.5  # the type, and half of what a like name or like values can add
+FEW = 4  # sketches of fewer values agree by chance
 
 
 def _no(constant: str) -> None:
@@ -145,8 +147,15 @@ def assignment(score: np.ndarray) -> list[tuple[int, int]]:
     return sorted((a, b) for a, b in pairs if score[a, b] > 0)
 
 
-def compare(before: dict[str, tuple[list, list]], now: dict[str, tuple[list, list]]) -> list[tuple[str, str, str]]:
-    """kind, path and old path of each change; both sides: path -> kinds, sketch."""
+def likely(went: tuple[str, list, list], came: tuple[str, list, list]) -> float:
+    """``likeness`` without sketches of few values."""
+    told = min(len(went[2]), len(came[2])) >= FEW
+    return likeness(*((path, kinds, sketch if told else []) for path, kinds, sketch in (went, came)))
+
+
+def compare(before: dict[str, tuple[list, list]], now: dict[str, tuple[list, list]], proposals: bool = False) -> list[tuple[str, str, str]]:
+    """kind, path and old path of each change; both sides: path -> kinds, sketch. With ``proposals`` also, as ``proposed``, the likely pairs of
+    the matching where several fields went or came; they stay removed and added."""
     went, came = sorted(before.keys() - now.keys()), sorted(now.keys() - before.keys())
     retyped = sorted(p for p in now.keys() & before.keys() if now[p][0] != before[p][0])
     changed = {*went, *came, *retyped}
@@ -164,17 +173,20 @@ def compare(before: dict[str, tuple[list, list]], now: dict[str, tuple[list, lis
     renamed: dict[str, str] = {}
     for under in sorted({parent(p) for p in went} & {parent(p) for p in came}):
         a, b = [p for p in went if parent(p) == under], [p for p in came if parent(p) == under]
-        score = np.array([[likeness((x, *before[x]), (y, *now[y])) for y in b] for x in a])
+        alone = len(a) == 1 and len(b) == 1
+        score = np.array([[(likeness if alone else likely)((x, *before[x]), (y, *now[y])) for y in b] for x in a])
         for i, j in assignment(score):
-            if len(a) == 1 and len(b) == 1:
+            if alone:
                 renamed[b[j]] = a[i]
+            elif proposals and score[i, j] >= LIKELY:
+                out.append(("proposed", b[j], a[i]))
     out += [("renamed", new, old) for new, old in renamed.items()]
     out += [("removed", p, "") for p in went if p not in renamed.values()]
     return out + [("added", p, "") for p in came if p not in renamed]
 
 
-def changes(profiles: DataFrame) -> DataFrame:
-    """feed, file_no, drift_kind, field_path, old_path of every change from a feed's file to its next.
+def changes(profiles: DataFrame, proposals: bool = False) -> DataFrame:
+    """feed, file_no, drift_kind, field_path, old_path of every change from a feed's file to its next; ``proposals`` as in ``compare``.
 
     A file's profile, one row here, is as large as its schema, whatever the number of its documents.
     """
@@ -191,7 +203,7 @@ def changes(profiles: DataFrame) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 sides = [{x["path"]: (x["kinds"], x["sketch"]) for x in r[c]} for c in ("fields0", "fields")]
-                out += [(r["feed"], r["file_no"], *c) for c in compare(*sides)]
+                out += [(r["feed"], r["file_no"], *c) for c in compare(*sides, proposals)]
                 if set(r["tags"]) != set(r["tags0"]):
                     out.append((r["feed"], r["file_no"], "retagged", TAG, ""))
             if out:
@@ -201,11 +213,12 @@ def changes(profiles: DataFrame) -> DataFrame:
 
 
 def unified_names(drift: DataFrame, profiles: DataFrame) -> DataFrame:
-    """feed, file_no, path, unified: the name of each file's field in the feed's one table, the newest of its chain of renames.
+    """feed, file_no, path, unified: the name of each file's field in the feed's one table, the newest of its chain of renames, with
+    the proposed ones if ``drift`` has them.
 
     Renames are followed inside a feed, file by file; what is handled at once is a feed's renames and paths, not its rows.
     """
-    renames = drift.filter("drift_kind = 'renamed'").groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("file_no", "old_path", "field_path"))).alias("steps"))
+    renames = drift.filter("drift_kind in ('renamed', 'proposed')").groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("file_no", "old_path", "field_path"))).alias("steps"))
     fields = profiles.filter("path is not null").select("feed", "file_no", "path").join(renames, "feed", "left")
 
     def moved(path, step):

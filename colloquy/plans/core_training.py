@@ -159,7 +159,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name in the unified table of each field of each file."""
     profiles = drift.profile(_lines(spark, sf_dir), "feed_id", "file_no", "payload")
-    return drift.unified_names(drift.changes(profiles), profiles)
+    return drift.unified_names(drift.changes(profiles, proposals=True), profiles)
 
 
 @query("p5_unified")

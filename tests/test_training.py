@@ -122,3 +122,21 @@ def test_report_holds_every_reference_found(spark, sf):
     for r in q["p2_whole_report"](spark, sf).collect():
         report[r.ref_table, r.kind] = report.get((r.ref_table, r.kind), 0) + r.n
     assert report == found and found["segments", "missing"] > 0
+
+
+def test_fields_renamed_together_are_unified(spark, tmp_path):
+    """Two fields renamed at once under one parent are one column each; what is not alike, or has only few values in common, is not."""
+    from colloquy.plans import registry
+
+    old = lambda i: {"seg": [{"start_sec": i / 7, "speaker": f"s{i}", "done": True}], "q": [i]}
+    new = lambda i: {"seg": [{"start_s": i / 9, "speaker_id": f"s{i}", "kept": True}], "q": [i]}
+    rows = [(n, "f", 1 + (n >= 6), json.dumps((new if n >= 6 else old)(n % 6))) for n in range(12)]
+    df = spark.createDataFrame(rows, "line_id long, feed_id string, file_no int, payload string").selectExpr("*", "timestamp'2026-01-01' delivered_at")
+    df.write.parquet(f"{tmp_path}/raw_transcripts.parquet")
+    q = registry.queries()
+    names = {(r.file_no, r.path): r.unified for r in q["p5_names"](spark, str(tmp_path)).collect()}
+    assert names[1, "seg[].start_sec"] == "seg[].start_s" and names[1, "seg[].speaker"] == "seg[].speaker_id" and names[1, "seg[].done"] == "seg[].done"
+    assert all(names[2, p] == p for n, p in names if n == 2)
+    values = {k for r in q["p5_unified"](spark, str(tmp_path)).collect() for k in r["values"]}
+    assert values == {"seg[].start_s", "seg[].speaker_id", "seg[].done", "seg[].kept", "q"}
+    assert {r.drift_kind for r in q["p5_found"](spark, str(tmp_path)).collect()} == {"removed", "added"}
