@@ -124,6 +124,34 @@ def j15_files_by_stem(spark, sf_dir):
     return r.join(a, "stem", "left").groupBy("rec_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+@query("j15_files_by_priority", """with r as (select distinct rec_id, regexp_replace(regexp_extract(media_path, '[^/]*$'), '\\.[^.]*$', '') stem from recordings where media_path is not null and rec_id is not null),
+f as (select distinct rec_id own, (request_id % 2)::int inner_ from asr_requests where rec_id is not null and request_id is not null),
+c as (select r.rec_id, stem, own || case when inner_ = 1 then '/diarization.json' else '.json' end file, case when own = stem then 0 else 2 end + inner_ priority from r join f on starts_with(own, stem) where stem <> '')
+select rec_id, stem, file, priority from c qualify row_number() over (partition by rec_id, stem order by priority, file) = 1""")
+def j15_files_by_priority(spark, sf_dir):
+    """The file of each recording's stem: stem.json, else stem/diarization.json, else stem*.json, else stem*/diarization.json, of several the
+    first by name. Requests stand for files, those of odd number for folders. A file is met under each of its prefixes, by equality."""
+    stem = F.regexp_replace(F.regexp_extract("media_path", "[^/]*$", 0), r"\.[^.]*$", "")
+    r = table(spark, sf_dir, "recordings").filter("media_path is not null and rec_id is not null").select("rec_id", stem.alias("stem")).filter("stem <> ''").distinct()
+    f = table(spark, sf_dir, "asr_requests").filter("rec_id is not null and request_id is not null and rec_id <> ''")
+    f = f.select(F.col("rec_id").alias("own"), (F.col("request_id") % 2).cast("int").alias("inner")).distinct()
+    prefixes = f.select("*", F.explode(F.sequence(F.lit(1), F.char_length("own"))).alias("n")).select("own", "inner", F.expr("substring(own, 1, n)").alias("stem"))
+    file = F.concat("own", F.when(F.col("inner") == 1, "/diarization.json").otherwise(".json"))
+    priority = F.when(F.col("own") == F.col("stem"), 0).otherwise(2) + F.col("inner")
+    best = prefixes.groupBy("stem").agg(F.min(F.struct(priority.cast("int").alias("priority"), file.alias("file"))).alias("best"))
+    return r.join(best, "stem").select("rec_id", "stem", "best.file", "best.priority")
+
+
+@query("pred16_audio_budget", """select request_id, case when coalesce(len(samples), 0) = 0 then 'empty' else 'too large' end error, 44 + 2 * coalesce(len(samples), 0) n_bytes
+from (select * from asr_requests qualify row_number() over (partition by request_id order by ingested_at nulls last) = 1) where coalesce(len(samples), 0) = 0 or 44 + 2 * len(samples) > 4096""")
+def pred16_audio_budget(spark, sf_dir):
+    """The requests that an engine refuses: without samples, or over its budget of bytes as 16-bit WAV. The budget here is 4 KiB, as rates are low."""
+    n = F.coalesce(F.when(F.col("samples").isNotNull(), F.size("samples")), F.lit(0)).cast("long")
+    t = table(spark, sf_dir, "asr_requests").select("request_id", "ingested_at", n.alias("n"))
+    t = first_delivery(t, "request_id", "ingested_at", ["n"]).withColumn("n_bytes", F.col("n") * 2 + 44)
+    return t.filter("n = 0 or n_bytes > 4096").select("request_id", F.when(F.col("n") == 0, "empty").otherwise("too large").alias("error"), "n_bytes")
+
+
 @query("j17_correlated", "select o_orderkey, case when l.k is null then 'stale' else 'ok' end state from orders left join (select distinct l_orderkey k from lineitem where l_linestatus = 'F') l on l.k = o_orderkey")
 def j17_correlated(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("ok", F.lit(True))

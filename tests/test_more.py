@@ -104,3 +104,17 @@ def test_streams_equal_batch(spark, events, tmp_path):
     assert sure <= batch and len(batch - sure) <= 2 and {r[4] for r in batch} == {"silence", "length"}
     assert ss.utterances_of(df.limit(0), 1, 1).count() == 0
     assert ss.sessions(df, "5 seconds").agg(F.sum("n")).first()[0] == 300
+
+
+def test_files_by_priority_and_audio_budget(spark, tmp_path):
+    from colloquy.plans import registry
+
+    rec = [("a", "/x/one.wav"), ("b", "/x/two.wav"), ("c", "three"), ("d", "/x/four.mp3"), ("e", None), ("f", "/x/none.wav")]
+    spark.createDataFrame(rec, "rec_id string, media_path string").write.parquet(f"{tmp_path}/recordings.parquet")
+    req = [(1, "one", 5), (2, "one", 0), (3, "two", 5000), (4, "two_b", 5), (5, "three9", 5), (6, "three1", 5), (8, "three0", 5), (7, "four1", None), (10, None, 5)]
+    df = spark.createDataFrame([(i, r, None if n is None else [0.5] * n) for i, r, n in req], "request_id long, rec_id string, samples array<float>")
+    df.selectExpr("*", "timestamp'2026-01-01' ingested_at").write.parquet(f"{tmp_path}/asr_requests.parquet")
+    q = registry.queries()
+    got = {(r.rec_id, r.file, r.priority) for r in q["j15_files_by_priority"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "one.json", 0), ("b", "two/diarization.json", 1), ("c", "three0.json", 2), ("d", "four1/diarization.json", 3)}
+    assert {tuple(r) for r in q["pred16_audio_budget"](spark, str(tmp_path)).collect()} == {(2, "empty", 44), (3, "too large", 10044), (7, "empty", 44)}
