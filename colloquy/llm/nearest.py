@@ -1,7 +1,9 @@
 """Each point in time paired with the interval nearest to it, within a tolerance, of the same entity.
 
-Points and intervals are hashed by entity and time bucket into groups, an interval into every bucket from which a point could
-reach it, so that a large entity is spread over many groups. Inside a group DuckDB runs three ASOF joins: backward to the
+Points and intervals are hash-partitioned by entity and time bucket, an interval into every bucket from which a point could reach it,
+so that a large entity is spread over many partitions. A task streams its rows, sorted by bucket, as Arrow groups: whole buckets
+up to ``CHUNK`` rows, a larger bucket in parts, of which each has all intervals of the bucket and some of its points. So the groups follow the
+rows, and a task holds a group and the intervals of one bucket. Inside a group DuckDB runs three ASOF joins: backward to the
 stretch of time in which one interval is the innermost that holds the point, backward to the last end and forward to the next
 start. The nearest candidate within the tolerance is taken; at equal distance the interval that starts latest, then the
 smallest key.
@@ -9,97 +11,143 @@ smallest key.
 An interval of up to ``SPAN`` buckets is copied into each; a longer one only into buckets of its entity in which there are points.
 
 Defined results: points without entity, time or key and intervals without entity, key or a positive length are left out; a
-point that repeats (same key) comes out once; an empty table on either side gives an empty table.
+point that repeats (same key, entity and time) comes out once; an empty table on either side gives an empty table.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_MS = 300_000
 SPAN = 16
+CHUNK = 100_000
 _OUT = pa.schema([("point", pa.int64()), ("interval", pa.int64()), ("distance", pa.int64())])
 
 JOINS = """
-with w as (select ent, b, t, point from points),
-inside as (select w.point, c.interval, 0 distance, c.s from w asof join covered c on w.ent = c.ent and w.b = c.b and w.t >= c.at where c.interval is not null),
+with inside as (select w.point, c.interval, 0 distance, c.s from w asof join covered c on w.g = c.g and w.t >= c.at where c.interval is not null),
 back as (select w.point, e.interval, w.t - e.e distance, e.s from w asof join (
-  select ent, b, e, max(s) s, arg_min(interval, (-s, interval)) interval from intervals group by all) e on w.ent = e.ent and w.b = e.b and w.t >= e.e),
+  select g, e, max(s) s, arg_min(interval, (-s, interval)) interval from intervals group by all) e on w.g = e.g and w.t >= e.e),
 ahead as (select w.point, s.interval, s.s - w.t distance, s.s from w asof join (
-  select ent, b, s, min(interval) interval from intervals group by all) s on w.ent = s.ent and w.b = s.b and w.t <= s.s)
+  select g, s, min(interval) interval from intervals group by all) s on w.g = s.g and w.t <= s.s)
 select point, arg_min(interval, (distance, -s, interval)) interval, min(distance) distance
 from (select * from inside union all select * from back union all select * from ahead) where distance <= {tolerance} group by point
 """
 
 
-def innermost(rows: list[tuple]) -> list[tuple]:
-    """Of intervals (ent, b, s, e, key): (ent, b, at, interval, s), the interval that starts latest of those that hold each instant from ``at``
-    until the next row; none where nothing does. Ends belong to their interval."""
-    out: list[tuple] = []
-    rows = sorted(rows)
-    i = 0
-    while i < len(rows):
-        ent, b = rows[i][:2]
-        j = i
-        while j < len(rows) and rows[j][:2] == (ent, b):
-            j += 1
-        instants = sorted({r[2] for r in rows[i:j]} | {r[3] + 1 for r in rows[i:j]})
-        active: list[tuple] = []
-        k = i
-        for at in instants:
-            while k < j and rows[k][2] <= at:
-                heapq.heappush(active, (-rows[k][2], rows[k][4], rows[k][3]))
-                k += 1
-            while active and active[0][2] < at:
-                heapq.heappop(active)
-            out.append((ent, b, at, active[0][1], -active[0][0]) if active else (ent, b, at, None, None))
-        i = j
-    return out
+def innermost(g: np.ndarray, s: np.ndarray, e: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of intervals of groups: group, instant and number of the interval that starts latest (the smallest key of equals) of those that hold each
+    instant from this one until the next; -1 where nothing does. Ends belong to their interval.
+
+    Intervals are laid over the instants in order of start, the last on top. A stretch of instants is two overlapping stretches of a power
+    of two; the greatest rank of each is noted, and is handed down from every power to the next, so that no interval is walked.
+    """
+    order = np.lexsort((-key, s, g))
+    at = np.unique(np.stack([np.concatenate([g, g]), np.concatenate([s, e + 1])]), axis=1)
+    # a search by group and instant is one by place in the sorted table of both
+    place = lambda grp, t: np.searchsorted(at[0], grp) + _within(at, grp, t)
+    a, b = place(g[order], s[order]), place(g[order], e[order] + 1)
+    power = np.frexp((b - a).astype(float))[1] - 1  # the greatest k with 2**k <= b - a
+    levels = [np.full(at.shape[1], -1) for _ in range(int(power.max(initial=0)) + 1)]
+    rank = np.arange(len(order))
+    for k in range(len(levels) - 1, -1, -1):
+        own = np.flatnonzero(power == k)
+        np.maximum.at(levels[k], a[own], rank[own])
+        np.maximum.at(levels[k], b[own] - (1 << k), rank[own])
+        if k:
+            half = 1 << (k - 1)
+            levels[k - 1] = np.maximum(levels[k - 1], levels[k])
+            levels[k - 1][half:] = np.maximum(levels[k - 1][half:], levels[k][:-half])
+    top = levels[0]
+    return at[0], at[1], np.where(top >= 0, order[np.maximum(top, 0)], -1)
+
+
+def _within(at: np.ndarray, grp: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """How many instants of group ``grp`` come before ``t``."""
+    first = np.searchsorted(at[0], grp)
+    both = np.lexsort((np.concatenate([np.zeros(at.shape[1], int), np.full(len(t), -1)]), np.concatenate([at[1], t]), np.concatenate([at[0], grp])))
+    before = np.cumsum(both < at.shape[1])
+    out = np.empty(len(both), dtype=np.int64)
+    out[both] = before
+    return out[at.shape[1] :] - first
 
 
 def _pair(tolerance: int):
-    import duckdb
+    sql = JOINS.format(tolerance=int(tolerance))
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
 
-    def run(points: pa.Table, intervals: pa.Table) -> pa.Table:
-        if not points.num_rows or not intervals.num_rows:
-            return _OUT.empty_table()
-        points, intervals = points.drop_columns(["g"]), intervals.drop_columns(["g"])
-        rows = [tuple(r.values()) for r in intervals.to_pylist()]
-        columns = list(zip(*innermost(rows)))
-        covered = pa.table([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["ent", "b", "at", "interval", "s"])
         con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
-        try:
-            for name, t in (("points", points), ("intervals", intervals), ("covered", covered)):
+
+        def joined(rows: pa.Table, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+            point = np.asarray(rows["point"])
+            s, e, own = (np.asarray(rows[c]) for c in ("s", "e", "id"))
+            if not point.any() or point.all():
+                return
+            iv = ~point
+            w = pa.table({"g": g[point], "t": s[point], "point": own[point]})
+            intervals = pa.table({"g": g[iv], "s": s[iv], "e": e[iv], "interval": own[iv]})
+            grp, at, top = innermost(g[iv], s[iv], e[iv], own[iv])
+            held = top >= 0
+            covered = pa.table({"g": grp, "at": at, "interval": pa.array(own[iv][top], mask=~held), "s": pa.array(s[iv][top], mask=~held)})
+            for name, t in (("w", w), ("intervals", intervals), ("covered", covered)):
                 con.register(name, t)
-            return con.sql(JOINS.format(tolerance=int(tolerance))).to_arrow_table().cast(_OUT)
+            yield from con.sql(sql).to_arrow_table().cast(_OUT).to_batches()
+
+        held: list[pa.RecordBatch] = []
+        n = 0
+        try:
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n < CHUNK:
+                    continue
+                rows, g = _numbered(held)
+                cut = int(np.searchsorted(g, g[-1]))  # the last bucket may go on
+                if cut:
+                    yield from joined(rows.slice(0, cut), g[:cut])
+                    rows = rows.slice(cut)
+                else:
+                    yield from joined(rows, g)
+                    rows = rows.filter(pc.invert(rows["point"]))
+                held, n = rows.to_batches(), rows.num_rows if cut else 0
+            if held:
+                yield from joined(*_numbered(held))
         finally:
             con.close()
 
     return run
 
 
-def nearest_interval(points: DataFrame, intervals: DataFrame, tolerance: int, bucket: int = BUCKET_MS, groups: int | None = None) -> DataFrame:
+def _numbered(batches: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+    """The rows as one table, and the number of each row's bucket."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    ent, b = rows["ent"], rows["b"]
+    fresh = pc.or_(pc.not_equal(ent.slice(1), ent.slice(0, len(ent) - 1)), pc.not_equal(b.slice(1), b.slice(0, len(b) - 1)))
+    return rows, np.concatenate([[0], np.cumsum(np.asarray(fresh))])
+
+
+def nearest_interval(points: DataFrame, intervals: DataFrame, tolerance: int, bucket: int = BUCKET_MS) -> DataFrame:
     """point, interval, distance of each point with an interval within the tolerance.
 
-    points: ent, t, point; intervals: ent, s, e, interval; times in whole milliseconds. groups: into how many groups the buckets
-    are hashed, four for each shuffle partition unless given; a group is what one task holds in memory.
+    points: ent, t, point; intervals: ent, s, e, interval; times, the tolerance and the bucket in whole numbers of one unit.
     """
-    groups = groups or 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     b = lambda c: F.floor(c / bucket).cast("long")
-    p = points.filter("ent is not null and t is not null and point is not null").select("ent", b(F.col("t")).alias("b"), F.col("t").cast("long").alias("t"), F.col("point").cast("long").alias("point"))
+    p = points.filter("ent is not null and t is not null and point is not null").select(F.col("ent").cast("string").alias("ent"), b(F.col("t")).alias("b"), F.col("t").cast("long").alias("t"), F.col("point").cast("long").alias("point"))
     v = intervals.filter("ent is not null and interval is not null and e > s").select(
-        "ent", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.col("interval").cast("long").alias("interval"),
+        F.col("ent").cast("string").alias("ent"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.col("interval").cast("long").alias("interval"),
         b(F.col("s") - tolerance).alias("b0"), b(F.col("e") + tolerance).alias("b1"),
     )
     short = v.filter(F.col("b1") - F.col("b0") < SPAN).select("ent", F.explode(F.sequence("b0", "b1")).alias("b"), "s", "e", "interval")
     held = p.select("ent", "b").distinct()
     long = v.filter(F.col("b1") - F.col("b0") >= SPAN).join(held, "ent").filter("b between b0 and b1").select("ent", "b", "s", "e", "interval")
-    g = F.pmod(F.xxhash64("ent", "b"), F.lit(groups)).alias("g")
-    left, right = p.select("*", g).groupBy("g"), short.unionByName(long).select("*", g).groupBy("g")
-    return left.cogroup(right).applyInArrow(_pair(tolerance), "point long, interval long, distance long")
+    row = lambda df, point, s, e, own: df.select("ent", "b", F.lit(point).alias("point"), F.col(s).alias("s"), F.col(e).alias("e"), F.col(own).alias("id"))
+    rows = row(short.unionByName(long), False, "s", "e", "interval").unionByName(row(p, True, "t", "t", "point"))
+    # the first rows of a bucket are its intervals
+    return rows.repartition("ent", "b").sortWithinPartitions("ent", "b", "point").mapInArrow(_pair(tolerance), "point long, interval long, distance long")

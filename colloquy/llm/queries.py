@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.times import timed, to_ms
 from colloquy.llm.leaks import leaked_items, leaked_windows
-from colloquy.llm.nearest import nearest_interval
+from colloquy.llm.nearest import BUCKET_MS, nearest_interval
 from colloquy.llm.pieces import cut_bisecting, pieces
 from colloquy.llm.runs import collapse
 from colloquy.llm.spans import shared_pairs
@@ -31,12 +31,13 @@ def p3_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In half milliseconds, so that the midpoint of whole milliseconds stays exact."""
     w = first_delivery(_table(spark, sf_dir, "word_timings"), "word_id", "ingested_at", ["rec_id", "start_sec", "end_sec"])
-    start, end = (F.when(~F.isnan(c), F.col(c)) for c in ("start_sec", "end_sec"))
-    w = w.select(F.col("rec_id").alias("ent"), to_ms(F.when(end >= start, (start + end) / 2).otherwise(start)).alias("t"), F.col("word_id").alias("point"))
+    w = w.withColumns({"s": to_ms(F.col("start_sec")), "e": to_ms(F.col("end_sec"))})
+    w = w.select(F.col("rec_id").alias("ent"), (F.col("s") + F.when(F.col("e") >= F.col("s"), F.col("e")).otherwise(F.col("s"))).alias("t"), F.col("word_id").alias("point"))
     t = turns(spark, sf_dir).filter(timed(F.col("start_ms"), F.col("end_ms")))
-    t = t.select(F.col("rec_id").alias("ent"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("turn_id").alias("interval"))
-    return nearest_interval(w, t, 750)
+    t = t.select(F.col("rec_id").alias("ent"), (F.col("start_ms") * 2).alias("s"), (F.col("end_ms") * 2).alias("e"), F.col("turn_id").alias("interval"))
+    return nearest_interval(w, t, 2 * 750, 2 * BUCKET_MS)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir).select(F.col("point").alias("word_id"), F.col("interval").alias("turn_id"), F.col("distance").alias("distance_ms"))
+    """distance_ms: in milliseconds, with the half one that a midpoint may have."""
+    return _nearest(spark, sf_dir).select(F.col("point").alias("word_id"), F.col("interval").alias("turn_id"), (F.col("distance") / 2).alias("distance_ms"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +87,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAREST = f"""with {TURNS},
-words1 as (select word_id, rec_id, try_cast(round_even(case when not isnan(start_sec) then case when not isnan(end_sec) and end_sec >= start_sec then (start_sec + end_sec) / 2 else start_sec end end * 1000, 0) as bigint) t
-  from word_timings qualify row_number() over (partition by word_id order by ingested_at nulls last) = 1),
-near as (select word_id, turn_id, s, greatest(s - t, t - e, 0) d from words1 join timed using (rec_id) where t is not null and s - 750 <= t and t <= e + 750),
+words1 as (select word_id, rec_id, try_cast(round_even(start_sec * 1000, 0) as bigint) ws, try_cast(round_even(end_sec * 1000, 0) as bigint) we from word_timings
+  qualify row_number() over (partition by word_id order by ingested_at nulls last) = 1),
+mids as (select word_id, rec_id, case when we >= ws then (ws + we) / 2 else ws end t from words1 where ws is not null),
+near as (select word_id, turn_id, s, greatest(s - t, t - e, 0) d from mids join timed using (rec_id) where s - 750 <= t and t <= e + 750),
 best as (select * from near qualify row_number() over (partition by word_id order by d, s desc, turn_id) = 1)"""
 
 _RUNS = f"""with {TURNS.split("timed as")[0]}

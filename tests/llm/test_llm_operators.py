@@ -88,7 +88,7 @@ def test_nearest(spark, bucket):
     pt = [(rnd.choice(["hot", "hot", "a", "b", None]), rnd.choice([None, rnd.randint(-200, 2200), 40]), i, 0) for i in range(300)]
     p = spark.createDataFrame(pt + pt[:9], "ent string, t long, point long, b int")
     v = spark.createDataFrame(iv, "ent string, s long, e long, interval long, g int")
-    got = {r.point: (r.interval, r.distance) for r in nearest.nearest_interval(p, v, 20, bucket, 5).collect()}
+    got = {r.point: (r.interval, r.distance) for r in nearest.nearest_interval(p, v, 20, bucket).collect()}
     want = {}
     for e, t, k, _ in pt:
         fit = [(max(s - t, t - z, 0), -s, i) for f, s, z, i, _ in iv if t is not None and e is not None and f == e and z > s and max(s - t, t - z, 0) <= 20]
@@ -99,6 +99,39 @@ def test_nearest(spark, bucket):
     assert nearest.nearest_interval(p.limit(0), v, 20).count() == 0 and nearest.nearest_interval(p, v.limit(0), 20).count() == 0
 
 
+def test_innermost_equals_loop():
+    rnd = random.Random(21)
+    for _ in range(200):
+        iv = [(rnd.randint(0, 2), s := rnd.randint(-20, 20), s + rnd.randint(1, 15), k) for k in range(rnd.randint(1, 25))]
+        cols = [np.array(c) for c in zip(*iv)]
+        g, at, top = nearest.innermost(*cols)
+        assert sorted(set(zip(g.tolist(), at.tolist()))) == list(zip(g.tolist(), at.tolist()))
+        for x, t, k in zip(g.tolist(), at.tolist(), top.tolist()):
+            fit = [(-s, own, i) for i, (h, s, e, own) in enumerate(iv) if h == x and s <= t <= e]
+            assert k == (min(fit)[2] if fit else -1)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_nearest_in_parts(monkeypatch, chunk):
+    """A bucket larger than a group is joined in parts, each with all its intervals."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(nearest, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    iv = [(e, b, False, s := rnd.randint(0, 300), s + rnd.randint(1, 40), i) for i in range(30) for e, b in [(rnd.choice("xy"), rnd.randint(0, 1))]]
+    pt = [(e, b, True, t, t, 100 + i) for i in range(200) for e, b, t in [(rnd.choice("xxxz"), rnd.randint(0, 1), rnd.randint(-10, 350))]]
+    rows = sorted(iv + pt, key=lambda r: r[:3])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 5])], names=["ent", "b", "point", "s", "e", "id"]) for i in range(0, len(rows), 5)]
+    got = [tuple(r.values()) for out in nearest._pair(9)(iter(batches)) for r in out.to_pylist()]
+    want = set()
+    for e, b, _, t, _, k in pt:
+        fit = [(max(s - t, t - z, 0), -s, i) for f, c, _, s, z, i in iv if (e, b) == (f, c) and max(s - t, t - z, 0) <= 9]
+        if fit:
+            d, _, i = min(fit)
+            want.add((k, i, d))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # 6. transcripts
 
 
