@@ -1,11 +1,14 @@
-"""Oversized audio cut into pieces at silences.
+"""Oversized audio cut into pieces at silences by recursive bisection.
 
-Two ways to cut, both from the same silences:
+A stretch longer than the limit less the overlap is cut at its strongest boundary near the midpoint (the longest silence), and its halves
+are cut likewise. Two ways to cut come of the one recursion:
 
-``cut_forward`` fixes each end from the piece's own start: the last silence that leaves the piece within the limit, or the limit.
-``cut_bisecting`` is recursive: cut at the longest silence near the midpoint, go on with halves that still exceed the limit less the
-overlap, then let each piece begin the overlap earlier. It gives pieces of more even length, but not those that a rule
-from the left prescribes, so p3_found uses the former and p3_bisected the latter.
+``cut_bisecting`` takes these cuts as the ends of the pieces, and each piece begins the overlap before its cut. The pieces are of even
+length.
+``cut_composed`` is for a rule that fixes each end from the piece's own start: the last silence that leaves the piece within the limit and
+longer than the least, or the limit. Cuts at midpoints are not those, so a stretch stands for a map instead, from the place where a piece
+enters it to the ends of the pieces that begin in it and the place where the next stretch is entered. The map of a stretch within the limit is looked up
+among the silences that it can reach, that of a longer one is composed of its halves', and the overlaps are attached to the ends that come out.
 
 Defined results: requests without samples, or without a usable rate or duration, have no pieces; a rate that rounds to zero is
 not usable; NaN samples are loud. A piece is cut on whole samples. Redelivered requests count once, with the earliest arrival: the
@@ -35,38 +38,60 @@ def silences(x: np.ndarray, rate: int, quiet: float = QUIET, still: float = STIL
     return runs[(runs[:, 1] - runs[:, 0]) >= still * rate - 1e-9]  # 0.2 of some rates is not exact
 
 
-def cut_forward(n: int, rate: int, still: np.ndarray, limit: float = LIMIT, least: float = LEAST, overlap: float = OVERLAP) -> list[tuple[int, int]]:
-    middle = (still[:, 0] + still[:, 1]) // 2
-    back = int(overlap * rate)
-    at, out = 0, []
-    while n - at > limit * rate:
-        k = int(np.searchsorted(middle, at + limit * rate, side="right")) - 1
-        end = int(middle[k]) if k >= 0 and middle[k] > at + least * rate else at + int(limit * rate)
-        out.append((at, end))
-        at = max(end - back, at + 1)
-    return [*out, (at, n)]
+def _near_midpoint(a: int, b: int, middle: np.ndarray, size: np.ndarray) -> int:
+    """Where [a, b) is cut: in the longest silence around the midpoint, the nearest to it of equal ones, then the earlier; at the midpoint without any."""
+    half, reach = (a + b) // 2, (b - a) // 4
+    near = np.flatnonzero((middle > half - reach) & (middle < half + reach))
+    return half if not len(near) else int(middle[min(near, key=lambda k: (-size[k], abs(middle[k] - half), k))])
 
 
-def cut_bisecting(n: int, rate: int, still: np.ndarray, limit: float = LIMIT, least: float = LEAST, overlap: float = OVERLAP) -> list[tuple[int, int]]:
+def bisect(n: int, rate: int, still: np.ndarray, limit: float, overlap: float) -> list[tuple[int, int]]:
+    """The stretches, in order, that recursive bisection leaves: none longer than the limit less the overlap."""
     middle, size = (still[:, 0] + still[:, 1]) // 2, still[:, 1] - still[:, 0]
-    back = int(overlap * rate)
-    most = max(1, int(limit * rate) - back)
-    cuts, stack = [], [(0, n)]
+    most = max(1, int(limit * rate) - int(overlap * rate))
+    out, stack = [], [(0, n)]
     while stack:
         a, b = stack.pop()
         if b - a <= most:
-            continue
-        half, reach = (a + b) // 2, (b - a) // 4
-        near = np.flatnonzero((middle > half - reach) & (middle < half + reach))
-        # the longest silence, the nearest to the midpoint of equal ones, then the earlier
-        cut = half if not len(near) else int(middle[min(near, key=lambda k: (-size[k], abs(middle[k] - half), k))])
-        cuts.append(cut)
-        stack += [(a, cut), (cut, b)]
-    edges = [0, *sorted(cuts), n]
-    return [(max(0, a - back) if a else 0, b) for a, b in zip(edges, edges[1:])]
-
-
-def pieces(df: DataFrame, cut: Callable = cut_forward, limit: float = LIMIT, only_over: bool = True, key: str = "request_id", samples: str = "samples", rate: str = "sample_rate", duration: str = "duration_seconds", arrived: str = "ingested_at") -> DataFrame:
+            out.append((a, b))
+        else:
+            cut = _near_midpoint(a, b, middle, size)
+            stack += [(cut, b), (a, cut)]  # the left half is done before the right one
+    return out
+
+
+def cut_bisecting(n: int, rate: int, still: np.ndarray, limit: float = LIMIT, least: float = LEAST, overlap: float = OVERLAP) -> list[tuple[int, int]]:
+    back = int(overlap * rate)
+    return [(max(0, a - back) if a else 0, b) for a, b in bisect(n, rate, still, limit, overlap)]
+
+
+def cut_composed(n: int, rate: int, still: np.ndarray, limit: float = LIMIT, least: float = LEAST, overlap: float = OVERLAP) -> list[tuple[int, int]]:
+    middle = (still[:, 0] + still[:, 1]) // 2
+    back, most = int(overlap * rate), limit * rate
+
+    def within(b: int, reach: np.ndarray, at: int) -> tuple[list[int], int]:
+        """The map of a stretch up to b, which holds or reaches the silences ``reach``: ends of the pieces that begin in it from ``at`` on, and the next entry."""
+        ends = []
+        while at < b and n - at > most:
+            fit = reach[np.searchsorted(reach, at + least * rate, side="right") : np.searchsorted(reach, at + most, side="right")]
+            ends.append(int(fit[-1]) if len(fit) else at + int(most))
+            at = max(ends[-1] - back, at + 1)
+        return ends, at
+
+    # the leaves come in order, so that composing the halves of every stretch is passing on the entry from leaf to leaf
+    ends: list[int] = []
+    at = 0
+    for a, b in bisect(n, rate, still, limit, overlap):
+        reach = middle[np.searchsorted(middle, a) : np.searchsorted(middle, b + most, side="right")]
+        more, at = within(b, reach, at)
+        ends += more
+    starts = [0]
+    for e in ends:
+        starts.append(max(e - back, starts[-1] + 1))
+    return list(zip(starts, [*ends, n]))
+
+
+def pieces(df: DataFrame, cut: Callable = cut_composed, limit: float = LIMIT, only_over: bool = True, key: str = "request_id", samples: str = "samples", rate: str = "sample_rate", duration: str = "duration_seconds", arrived: str = "ingested_at") -> DataFrame:
     """key, piece_no, from_sample, to_sample of the pieces of each request; ``only_over`` leaves out those within the limit."""
     kind = df.schema
     own = [kind[key].dataType.simpleString(), kind[arrived].dataType.simpleString()]

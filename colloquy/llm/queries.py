@@ -22,11 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces(_table(spark, sf_dir, "asr_requests"))
+    return pieces(_table(spark, sf_dir, "asr_requests"))  # by composed bisection
 
 
 def p3_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same requests cut by recursive bisection."""
+    """The same requests in the pieces of plain bisection."""
     return pieces(_table(spark, sf_dir, "asr_requests"), cut_bisecting)
 
 
@@ -111,6 +111,13 @@ union all select c.request_id, c.piece_no + 1, coalesce(max(m.mid), c.st + 20 *
   where c.n - c.st > 20 * c.rate group by c.request_id, c.piece_no, c.st, c.n, c.rate)
 select request_id, piece_no, st from_sample, coalesce(lead(st) over (partition by request_id order by piece_no) + rate // 2, n)::bigint to_sample from c"""
 
+_HALVES = _PIECES.split("c as (")[0] + """ms as (select request_id, (min(i) + max(i) + 1) // 2 mid, count(*) size from q group by request_id, rate, g having count(*) * 5 >= any_value(rate)),
+nodes as (select request_id, rate, 0::bigint a, n b, 20 * rate - rate // 2 most from o
+union all select request_id, rate, case when k = 0 then a else cut end, case when k = 0 then cut else b end, most from (
+  select x.request_id, x.rate, a, b, most, coalesce(arg_min(mid, (-size, abs(mid - (a + b) // 2), mid)), (a + b) // 2) cut from nodes x
+  left join ms on ms.request_id = x.request_id and mid > (a + b) // 2 - (b - a) // 4 and mid < (a + b) // 2 + (b - a) // 4 where b - a > most group by x.request_id, x.rate, a, b, most) t, (values (0), (1)) h(k))
+select request_id, (row_number() over (partition by request_id order by a) - 1)::int piece_no, case when a = 0 then 0 else greatest(0, a - rate // 2) end from_sample, b to_sample from nodes where b - a <= most"""
+
 _WORDS = "string_split(trim(regexp_replace(regexp_replace(lower(text), '\\\\(?:[a-z]+|(?s:.))', ' ', 'g'), '[^\\p{L}\\p{Nd}]+', ' ', 'g')), ' ')"
 _WINDOWS = "select {0}, array_to_string(w[i : i + 11], ' ') g from (select {0}, w, unnest(range(1, len(w) - 10)) i from {1})"
 
@@ -125,6 +132,7 @@ SQL: dict[str, str] = {
     "p9_found": _LEAKS,
     "p10_found": _SPANS,
     "p3_found": _PIECES,
+    "p3_bisected": _HALVES,
     "p4_found": _NEAREST + " select word_id, turn_id from best",
     "p4_distances": _NEAREST + " select word_id, turn_id, d distance_ms from best",
     "p7_runs": _RUNS + " select * from runs",

@@ -78,6 +78,14 @@ def test_bisected_pieces_cover_and_fit():
         assert all(b[0] == max(0, a[1] - rate // 2) for a, b in zip(cut, cut[1:]))
 
 
+def test_composed_pieces_equal_the_rule_from_the_left():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        rate = int(rng.integers(1, 25))
+        x = np.where(np.repeat(rng.random(500), rng.integers(1, 12))[: int(rng.integers(1, 4000))] < rng.choice([0.05, 0.3, 0.8]), 0.0, 1.0)
+        assert pieces.cut_composed(len(x), rate, pieces.silences(x, rate)) == forward_loop(x.tolist(), rate)
+
+
 # 4. nearest
 
 
