@@ -62,9 +62,9 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of the given texts (arrays of code points). A match never runs over the end of a text."""
+    """Index of the given texts (arrays of code points). A match never runs over the end of a text. ``owners``: whose each text is, its own unless given."""
 
-    def __init__(self, texts: list[np.ndarray]):
+    def __init__(self, texts: list[np.ndarray], owners: np.ndarray | None = None):
         lens = np.array([len(t) for t in texts], dtype=np.int64)
         n = int(lens.sum()) + len(texts)
         if n > BLOCK_CHARS:
@@ -87,7 +87,7 @@ class FMIndex:
         self.wavelet = WaveletMatrix(bwt, self.width)
         counts = np.bincount(s, minlength=(1 << self.width) + 1)
         self.before = np.concatenate([[0], np.cumsum(counts)])[: 1 << self.width].astype(np.int32)
-        self.sa_owner = self.owner[self.sa]
+        self.sa_owner = self.owner[self.sa] if owners is None else owners[self.owner[self.sa]]
         change = np.flatnonzero(self.sa_owner[1:] != self.sa_owner[:-1]) + 1
         edges = np.concatenate([[0], change, [n]])
         self.other_at = np.repeat(edges[1:], np.diff(edges)).astype(np.int32)  # next place with another owner
@@ -157,10 +157,10 @@ class FMIndex:
         return np.cumsum(self.lcp[:-1] < depth) - 1
 
     def matching_statistics(self, patterns: list[np.ndarray], own: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-        """Streams the patterns from right to left. own[i]: the index's text that is pattern i itself, or -1.
+        """Streams the patterns from right to left. own[i]: the owner of pattern i, the index's text that it is itself unless owners were given, or -1.
 
         Returns pattern, position, match length and a suffix-array place of every match of at least ``least`` symbols
-        with a text other than the pattern's own.
+        with a text of another owner.
         """
         m = len(patterns)
         lens = np.array([len(p) for p in patterns], dtype=np.int64)

@@ -10,7 +10,7 @@ from colloquy.llm.leaks import leaked_items, leaked_windows
 from colloquy.llm.nearest import BUCKET_MS, nearest_interval
 from colloquy.llm.pieces import cut_bisecting, pieces
 from colloquy.llm.runs import collapse
-from colloquy.llm.spans import shared_pairs
+from colloquy.llm.spans import copy_classes, shared_intervals, shared_pairs
 from colloquy.llm.tokens import encode_texts
 from colloquy.llm.transcripts import speaker_turns
 from colloquy.operators.delivery import first_delivery
@@ -86,6 +86,24 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_pairs(_table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of exact copies: doc_id, class_id (the least id) and n_docs of each member. p10_found gives classes of more than 64 by class_id."""
+    docs = _table(spark, sf_dir, "documents").filter("doc_id is not null and length(text) >= 250")
+    return copy_classes(docs.select("doc_id", "text")).select("doc_id", F.col("rep").alias("class_id"), F.col("n").alias("n_docs"))
+
+
+def p10_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals of each article that stand verbatim in another one."""
+    return shared_intervals(_table(spark, sf_dir, "documents"))
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each article that shares anything is shared."""
+    docs = _table(spark, sf_dir, "documents").filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
+    each = shared_intervals(_table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.sum(F.col("to_char") - F.col("from_char")).alias("shared_chars"), F.count("*").alias("n_intervals"))
+    return each.join(docs, "doc_id").select("doc_id", "n_chars", "shared_chars", "n_intervals", (F.col("shared_chars") / F.col("n_chars")).alias("share"))
+
+
 _NEAREST = f"""with {TURNS},
 words1 as (select word_id, rec_id, try_cast(round_even(start_sec * 1000, 0) as bigint) ws, try_cast(round_even(end_sec * 1000, 0) as bigint) we from word_timings
   qualify row_number() over (partition by word_id order by ingested_at nulls last) = 1),
@@ -128,7 +146,18 @@ _SPANS = """with w as (select doc_id, text, unnest(range(1, len(text) - 248)) i
 h as (select distinct doc_id, md5(substring(text, i, 250)) h from w), k as (select h from h group by h having count(*) > 1)
 select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from h a join k using (h) join h b using (h) where a.doc_id < b.doc_id"""
 
+_COVERED = _SPANS.split("k as (")[0].replace("select distinct doc_id, md5(substring(text, i, 250)) h from w", "select doc_id, i, md5(substring(text, i, 250)) h from w") + """k as (select h from h group by h having count(distinct doc_id) > 1),
+c as (select distinct doc_id, i from h join k using (h)),
+f as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 250, true)::int fresh from c),
+g as (select doc_id, i, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) k from f),
+stretches as (select doc_id, min(i) - 1 from_char, max(i) + 249 to_char from g group by doc_id, k)"""
+
 SQL: dict[str, str] = {
+    "p10_intervals": _COVERED + " select * from stretches",
+    "p10_shared": _COVERED + """ select doc_id, len(text) n_chars, sum(to_char - from_char)::bigint shared_chars, count(*) n_intervals, sum(to_char - from_char) / len(text) share
+from stretches join documents using (doc_id) group by doc_id, text""",
+    "p10_classes": """select doc_id, min(doc_id) over (partition by text) class_id, count(*) over (partition by text) n_docs from documents where doc_id is not null and len(text) >= 250
+qualify count(*) over (partition by text) > 1""",
     "p9_found": _LEAKS,
     "p10_found": _SPANS,
     "p3_found": _PIECES,
@@ -141,5 +170,5 @@ SQL: dict[str, str] = {
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_bisected, p4_found, p4_distances, p6_found, p6_turns, p7_found, p7_runs, p8_ids, p9_found, p9_leaks, p10_found)
+    for f in (p3_found, p3_bisected, p4_found, p4_distances, p6_found, p6_turns, p7_found, p7_runs, p8_ids, p9_found, p9_leaks, p10_found, p10_classes, p10_intervals, p10_shared)
 }
