@@ -156,6 +156,95 @@ def test_read_line():
     assert {t: transcripts.read_line(t, k) for t in cases} == cases
 
 
+def test_speech_that_looks_like_a_mark_is_kept():
+    k = SpeakerTable([("S1", "Ann Lee")])
+    cases = {
+        "at 10:30 we meet": (None, "at 10:30 we meet"),
+        "10:30 works for me": (None, "10:30 works for me"),
+        "10:30 Ann Lee: fine": ("Ann Lee", "fine"),
+        "00:16 - Ann: fine": ("Ann", "fine"),
+        "it is *really* good": (None, "it is really good"),
+        "2 * 3 * 4 is 24": (None, "2 3 4 is 24"),
+        "the plan (as you know) works (laughter)": (None, "the plan as you know works"),
+        "Error: disk full": (None, "Error: disk full"),
+        "Bob: disk full": ("Bob", "disk full"),
+        "(LONG BEEPS)": (None, ""), "*door slams* come in": (None, "come in"), "(yes)": (None, "yes"),
+        "from 00:01:02 on [00:05] and @00:07 too": (None, "from on and too"),
+    }
+    assert {t: (n, " ".join(w)) for t in cases for n, w in [transcripts.read_line(t, k)]} == cases
+
+
+def test_caption_files():
+    people = [{"id": "S1", "display_name": "Ann Lee"}, {"id": "S2", "display_name": "Bo Ek"}]
+    srt = "1\r\n00:00:01,000 --> 00:00:04,000\r\nAnn Lee: hello there\r\nhow are you (laughter)\r\n\r\n2\r\n00:00:05,000 --> 00:00:06,500\r\nBO: uh, fine at 10:30\r\n\r\n3\r\n00:00:07,000 --> 00:00:08,000\r\nbo ek: thanks\r\n"
+    vtt = "\ufeffWEBVTT - a title\nKind: captions\n\nNOTE nothing\nof this\n\nSTYLE\n::cue { color: red }\n\nintro\n00:01.000 --> 00:04.000 align:start position:0%\n<v Ann Lee>hello there\nhow are you\n\n00:05.000 --> 00:06.500\n<v.loud Bo Ek>fine <i>at</i> 10:30</v>\n\n00:07.000 --> 00:08.000\n- Bo: thanks\n"
+    plain_form = "[00:00:01] Ann Lee: hello there\nhow are you\n\n[00:00:05] Bo: um fine at 10:30\nBo Ek： thanks"
+    want = [("S1", "hello there how are you"), ("S2", "fine at 10:30 thanks")]
+    for text in (srt, vtt, plain_form):
+        assert [(t[0], t[3]) for t in transcripts.caption_turns(text, people)] == want, text
+    assert [t[1:3] for t in transcripts.caption_turns(srt, people)] == [(1.0, 4.0), (5.0, 8.0)] == [t[1:3] for t in transcripts.caption_turns(vtt, people)]
+    assert transcripts.caption_turns("") == [] == transcripts.caption_turns("WEBVTT\n\nNOTE only\n")
+    assert transcripts.caption_turns("1\n2\nthree") == [("", None, None, "1 2 three")]
+    cue = "7\n00:00:01,000 --> 00:00:04,000\nAnn Lee: hello"
+    assert transcripts.read_text(cue, SpeakerTable([("S1", "Ann Lee")])) == ("Ann Lee", ["hello"])
+
+
+def turns_by_loop(people, segments):
+    """The rules of TESTDATA.md read once more, with plain string work and no regular expression."""
+    fold = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
+
+    def entry(label):
+        key = fold(label)
+        digits = key.lstrip("abcdefghijklmnopqrstuvwxyz")
+        for way in range(5):
+            for own, name in people:
+                w = [x for x in (name or "").replace(",", " ").split() if fold(x)]
+                forms = [fold(own), fold(name), w and fold(w[-1]) + "".join(map(fold, w[:-1])), w and fold(w[0])]
+                if way < 4 and key and forms[way] == key:
+                    return own
+                own_digits = fold(own).lstrip("abcdefghijklmnopqrstuvwxyz")
+                if way == 4 and digits.isdigit() and own_digits.isdigit() and int(digits) == int(own_digits):
+                    return own
+        return None
+
+    out = []
+    for _, i, text, who in sorted((s[0], i, s[1], s[2]) for i, s in enumerate(segments)):
+        tokens, label = text.split(), None
+        while tokens and (tokens[0][0] in "[(<" and tokens[0].strip("[]()<>").replace(":", "").isdigit() or tokens[0] == ">>"):
+            tokens = tokens[1:]
+        for n in (1, 2):
+            if label is None and len(tokens) >= n and tokens[n - 1].endswith(":") and entry(" ".join(tokens[:n])) is not None:
+                label, tokens = " ".join(tokens[:n])[:-1], tokens[n:]
+        kept, depth = [], 0
+        for w in tokens:
+            depth += w.count("[")
+            if not depth and any(c.isalnum() for c in w) and w.strip(",.?-").lower() not in ("uh", "um", "hmm", "erm"):
+                kept.append(w)
+            depth -= w.count("]")
+        if not kept:
+            continue
+        own = who if who and who.strip() else label or ""
+        who = entry(own) if entry(own) is not None else own
+        if out and out[-1][2] == who:
+            out[-1][1], out[-1][3] = i, out[-1][3] + len(kept)
+        else:
+            out.append([i, i, who, len(kept)])
+    return [tuple(x) for x in out]
+
+
+def test_turns_equal_a_plain_loop():
+    rnd = random.Random(41)
+    people = [("S1", "Ann Lee"), ("S2", "Bo Ek"), ("spk_03", None)]
+    for _ in range(300):
+        segs = []
+        for _ in range(rnd.randint(0, 12)):
+            label = rnd.choice(["", "", "Ann: ", "Lee, Ann: ", "bo ek: ", ">> S2: ", "[00:12] SPEAKER_3: ", "(1:02) "])
+            words = [rnd.choice(["so", "ok.", "uh,", "Um", "ten", "[door slams]", "[ laughter ]", "hmm..."]) for _ in range(rnd.randint(0, 6))]
+            segs.append((float(rnd.randint(0, 6)), label + " ".join(words), rnd.choice([None, " ", "S1", "ek bo", "Speaker 3", "Cy"])))
+        got = transcripts.turns_of([{"id": a, "display_name": b} for a, b in people], [{"start_sec": a, "end_sec": a + 1, "text": t, "speaker": w, "words": None} for a, t, w in segs])
+        assert [t[:4] for t in got] == turns_by_loop(people, segs), segs
+
+
 def test_turns(spark):
     seg = lambda start, text, who=None, words=None: (start, None if start is None else start + 1, text, who, words)
     segs = [seg(5.0, "b", "S 1"), seg(1.0, "a", "ann"), seg(None, "z", "S9"), seg(5.0, "uh", "S2"), seg(6.0, None, None, [("c",), (None,), ("d",)]), seg(7.0, " ", ""), None, seg(float("nan"), "S1: q", " ")]
