@@ -9,7 +9,7 @@ from colloquy.functions.times import timed, to_ms
 from colloquy.llm.leaks import leaked_items, leaked_windows
 from colloquy.llm.nearest import BUCKET_MS, nearest_interval
 from colloquy.llm.pieces import cut_bisecting, pieces
-from colloquy.llm.runs import collapse
+from colloquy.llm.runs import collapse, collapse_like
 from colloquy.llm.spans import copy_classes, shared_intervals, shared_pairs
 from colloquy.llm.tokens import encode_texts
 from colloquy.llm.transcripts import speaker_turns
@@ -70,6 +70,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_runs(spark, sf_dir).filter("n_turns >= 3").select("rec_id", "first_turn_id", "n_turns")
 
 
+def p7_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-identical words, four fifths alike in letters and digits, that follow each other within two seconds, as one with count and duration."""
+    w = first_delivery(_table(spark, sf_dir, "word_timings"), "word_id", "ingested_at", ["rec_id", "word", "start_sec", "end_sec"])
+    plain = F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}]", "")
+    w = w.select("rec_id", "word_id", plain.alias("plain"), to_ms(F.col("start_sec")).alias("s"), to_ms(F.col("end_sec")).alias("e")).filter("plain <> ''")
+    runs = collapse_like(w, "rec_id", "plain", "s", "e", "word_id", 2000).filter("n >= 2")
+    return runs.select(F.col("ent").alias("rec_id"), F.col("first_key").alias("first_word_id"), "label", F.col("n").cast("int").alias("n_words"), (F.col("to_ms") - F.col("from_ms")).alias("duration_ms"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"))
 
@@ -118,6 +127,14 @@ marked as (select *, coalesce(speaker = lag(speaker) over w and s - lag(s) over
 numbered as (select *, sum((not joins)::int) over (partition by rec_id order by s, turn_id rows unbounded preceding) run from marked),
 runs as (select rec_id, any_value(speaker) speaker, arg_min(turn_id, (s, turn_id)) first_turn_id, count(*)::int n_turns, min(s) from_ms, max(greatest(s, coalesce(e, s))) - min(s) duration_ms from numbered group by rec_id, run)"""
 
+_WORD_RUNS = """with recursive one as (select *, regexp_replace(lower(word), '[^\\p{L}\\p{N}]', '', 'g') w, try_cast(round_even(start_sec * 1000, 0) as bigint) s, try_cast(round_even(end_sec * 1000, 0) as bigint) e
+  from word_timings qualify row_number() over (partition by word_id order by ingested_at nulls last) = 1),
+o as (select rec_id, word_id, w, s, greatest(s, coalesce(e, s)) e, row_number() over (partition by rec_id order by s, word_id) rn from one where rec_id is not null and word_id is not null and s is not null and w <> ''),
+r as (select rec_id, rn, w anchor, s, e, word_id first_word_id from o where rn = 1
+union all select o.rec_id, o.rn, case when t.joins then r.anchor else o.w end, o.s, o.e, case when t.joins then r.first_word_id else o.word_id end from r join o on o.rec_id = r.rec_id and o.rn = r.rn + 1,
+  lateral (select o.s - r.s <= 2000 and 1 - levenshtein(o.w, r.anchor) / greatest(len(o.w), len(r.anchor)) >= 0.8 joins) t)
+select rec_id, first_word_id, any_value(anchor) label, count(*)::int n_words, max(e) - min(s) duration_ms from r group by rec_id, first_word_id having count(*) >= 2"""
+
 _PIECES = """with recursive rq as (select * from asr_requests qualify row_number() over (partition by request_id order by ingested_at nulls last) = 1),
 r as (select request_id, samples, len(samples) n, case when sample_rate > 0 then sample_rate when isfinite(duration_seconds) and duration_seconds > 0 then round_even(len(samples) / duration_seconds, 0)::bigint end rate from rq where samples is not null),
 o as (select * from r where rate > 0 and n > 20 * rate),
@@ -164,11 +181,12 @@ qualify count(*) over (partition by text) > 1""",
     "p3_bisected": _HALVES,
     "p4_found": _NEAREST + " select word_id, turn_id from best",
     "p4_distances": _NEAREST + " select word_id, turn_id, d distance_ms from best",
+    "p7_words": _WORD_RUNS,
     "p7_runs": _RUNS + " select * from runs",
     "p7_found": _RUNS + " select rec_id, first_turn_id, n_turns from runs where n_turns >= 3",
 }
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_bisected, p4_found, p4_distances, p6_found, p6_turns, p7_found, p7_runs, p8_ids, p9_found, p9_leaks, p10_found, p10_classes, p10_intervals, p10_shared)
+    for f in (p3_found, p3_bisected, p4_found, p4_distances, p6_found, p6_turns, p7_found, p7_runs, p7_words, p8_ids, p9_found, p9_leaks, p10_found, p10_classes, p10_intervals, p10_shared)
 }

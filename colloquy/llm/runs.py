@@ -7,19 +7,26 @@ is carried over Arrow batches, so no entity is held in memory; the walk itself i
 An entity is cut into time buckets walked by different tasks. A run that reaches the first or last event of its bucket is a
 fragment, and a second walk over the fragments, at most two to a bucket, joins those that meet.
 
+``collapse_like`` takes a likeness in place of equality: each event is compared with the anchor of the open run, so events that drift away from it begin a new
+run. What an anchor gathers cannot be told from the middle, so an entity is not cut into buckets but only where events are further apart than
+the tolerance, which no run crosses; each such stretch is streamed through one task.
+
 Defined results: events without entity, start or label are left out; ties in time follow the order of ``key``; repeated rows are events of
 their own; an empty table gives an empty table. A run's end is the latest end of its events, their start where the end is missing or earlier.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.scan import neighbours, running
+
 BUCKET_MS = 3_600_000
 _FIELDS = "ent string, b long, seq long, label long, k long, first_ms long, last_ms long, to_ms long, n long, opens boolean, closes boolean"
 _SCHEMA = pa.schema([("ent", pa.string())] + [(c, pa.int64()) for c in ("b", "seq", "label", "k", "first_ms", "last_ms", "to_ms", "n")] + [("opens", pa.bool_()), ("closes", pa.bool_())])
@@ -108,3 +115,54 @@ def collapse(df: DataFrame, entity: str, label: str, start: str, end: str, key:
     placed = found.withColumn("part", part).repartition("part").sortWithinPartitions(F.col("opens") | F.col("closes"), "ent", "b", "seq").drop("part")
     whole = placed.mapInArrow(_stitch(max_gap), _FIELDS)
     return whole.select("ent", "label", F.col("k").alias("first_key"), "n", F.col("first_ms").alias("from_ms"), "to_ms")
+
+
+@lru_cache(1 << 16)
+def likeness(a: str, b: str) -> float:
+    """1 less the edits that turn one text into the other as a share of the longer; 1 for two empty ones."""
+    if a == b:
+        return 1.0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0], corner = i, i, i - 1
+        for j, y in enumerate(b, 1):
+            left, corner = min(row[j] + 1, left + 1, corner + (x != y)), row[j]
+            row[j] = left
+    return 1.0 - row[-1] / max(len(a), len(b))
+
+
+def _walk_like(max_gap: int, alike: Callable[[str, str], bool]):
+    """Events (ent, part, label, k, start, end), sorted, to runs; one open run is held."""
+    kind = pa.schema([("ent", pa.string()), ("label", pa.string()), ("first_key", pa.int64()), ("n", pa.int64()), ("from_ms", pa.int64()), ("to_ms", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None
+        part, last = None, 0
+        for batch in batches:
+            out = []
+            for ent, p, label, k, s, e in zip(*(c.to_pylist() for c in batch.columns)):
+                if held is not None and (ent, p) == part and s - last <= max_gap and alike(held[1], label):
+                    held[3], held[5] = held[3] + 1, max(held[5], s, e)
+                else:
+                    if held is not None:
+                        out.append(held)
+                    held = [ent, label, k, 1, s, max(s, e)]
+                part, last = (ent, p), s
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kind.types)], schema=kind)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], type=t) for c, t in zip(held, kind.types)], schema=kind)
+
+    return run
+
+
+def collapse_like(df: DataFrame, entity: str, label: str, start: str, end: str, key: str, max_gap: int, least: float = 0.8, alike: Callable[[str, str], bool] | None = None, bucket: int = BUCKET_MS) -> DataFrame:
+    """As ``collapse``, of events whose label, a text, is like the anchor's by at least ``least``, or as ``alike`` (anchor, label) has it."""
+    alike = alike or (lambda a, b: likeness(a, b) >= least)
+    rows = df.filter(F.col(entity).isNotNull() & F.col(start).isNotNull() & F.col(label).isNotNull() & F.col(key).isNotNull())
+    rows = rows.select(F.col(entity).cast("string").alias("ent"), F.col(label).cast("string").alias("label"), F.col(key).cast("long").alias("k"), F.col(start).cast("long").alias("s"), F.coalesce(end, start).cast("long").alias("e"))
+    rows = neighbours(rows, ["ent"], "s", ["s", "k", "label", "e"], before={"s0": "s"}, bucket=bucket)
+    fresh = F.when(F.col("s0").isNull() | (F.col("s") - F.col("s0") > max_gap), F.col("s"))
+    rows = running(rows, ["ent"], "s", ["s", "k", "label", "e"], {"part": ("max", fresh)}, inclusive=True, bucket=bucket)
+    order = rows.select("ent", "part", "label", "k", "s", "e").repartition("ent", "part").sortWithinPartitions("ent", "part", "s", "k", "label", "e")
+    return order.mapInArrow(_walk_like(max_gap, alike), "ent string, label string, first_key long, n long, from_ms long, to_ms long")

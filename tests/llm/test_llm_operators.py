@@ -281,6 +281,42 @@ def test_runs(spark, bucket):
     assert runs.collapse(df.limit(0), "rec", "who", "s", "e", "id", 3).count() == 0
 
 
+def test_likeness():
+    rnd = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 6))) for _ in range(2))
+        rows = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        assert runs.likeness(a, b) == (1 - rows[-1][-1] / max(len(a), len(b)) if a or b else 1.0)
+
+
+@pytest.mark.parametrize("bucket", [10, 10_000_000])
+def test_runs_of_near_identical_events(spark, bucket):
+    """The anchor decides: a chain of events that drift is not one run."""
+    rnd = random.Random(bucket)
+    rows, t = [], 0
+    for i in range(500):
+        t += rnd.choice([0, 1, 1, 2, 9])
+        rows.append((rnd.choice(["hot", "hot", "hot", "a", None]), rnd.choice(["aaaaa", "aaaab", "aaabb", "aabbb", "zz", "", None]), rnd.choice([t, t, t, None]), t + rnd.choice([-2, 1, 9]), i, 0))
+    df = spark.createDataFrame(rows, "rec string, what string, s long, e long, id long, part int").repartition(5)
+    got = {(r.ent, r.first_key): (r.label, r.n, r.from_ms, r.to_ms) for r in runs.collapse_like(df, "rec", "what", "s", "e", "id", 3, 0.8, bucket=bucket).collect()}
+    want = {}
+    for rec in ("hot", "a"):
+        at, last = None, 0
+        for _, w, s, e, i, _ in sorted((r for r in rows if r[0] == rec and r[1] is not None and r[2] is not None), key=lambda r: (r[2], r[4])):
+            if at and s - last <= 3 and runs.likeness(want[at][0], w) >= 0.8:
+                a = want[at]
+                want[at] = (a[0], a[1] + 1, a[2], max(a[3], s, e))
+            else:
+                at = (rec, i)
+                want[at] = (w, 1, s, max(s, e))
+            last = s
+    assert got == want and any(v[1] > 2 for v in want.values())
+    assert runs.collapse_like(df.limit(0), "rec", "what", "s", "e", "id", 3).count() == 0
+
+
 # 8. tokens
 
 
