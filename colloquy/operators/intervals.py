@@ -1,10 +1,10 @@
 """Continuous periods and gaps of overlapping, nested and broken intervals: a distributed sweep line.
 
-Interval ends become plus and minus events, summed per entity and instant. Entities are cut into time buckets of ``bucket`` units,
-so that an entity with most of the rows is still many tasks: the sums of whole buckets, far fewer than the events, give each
-bucket the count of active intervals at its beginning, and the count runs on inside the bucket. Where it leaves zero a
-period opens, where it comes back to zero one closes; a boundary's predecessor lies in its bucket or is the last boundary
-of an earlier one, handed on in the same way. A bucket holds at most ``bucket`` distinct instants.
+Intervals become plus and minus events, and the prefix sum of the events counts the active intervals: where it leaves zero a period opens, where it comes
+back to zero one closes. Entities are cut into time buckets of ``bucket`` units, so that an entity with most of the rows is still
+many tasks. An interval is sent once to the bucket of its start, and again to that of its end only if this is another; all that follows reads that one
+shuffle. The sums of whole buckets, far fewer than the events, give each bucket the count of active intervals at its beginning, and the count runs on inside
+the bucket. A boundary's predecessor lies in its bucket or is the last boundary of an earlier one, handed on in the same way.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.operators.scan import cut, with_totals
+from colloquy.operators.scan import with_totals
 
 BUCKET_MS = 600_000
 
@@ -26,34 +26,35 @@ def boundaries(df: DataFrame, entity: list[str], start: str, end: str, bucket: i
     """
     names = [f"e{i}" for i in range(len(entity))]
     keys = [*names, "b"]
-    rows = df.filter(F.col(end) > F.col(start)).select(
-        *[F.col(c).alias(n) for c, n in zip(entity, names)],
-        F.explode(F.array(F.struct(F.col(start).cast("long").alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).cast("long").alias("t"), F.lit(-1).alias("d")))).alias("x"),
-    )
-    rows = rows.select(*names, F.col("x.t").alias("t"), F.col("x.d").alias("d"), F.floor(F.col("x.t") / bucket).alias("b"))
-    sums = rows.groupBy(*keys, "t").agg(F.sum("d").alias("net"), F.count(F.when(F.col("d") > 0, 1)).alias("opened"))
-    events = cut(sums.repartition(*keys))  # read for the sums of whole buckets and again for the counts inside them
+    rows = df.filter(F.col(end) > F.col(start)).select(*[F.col(c).alias(n) for c, n in zip(entity, names)], F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    b = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    part = lambda b, s, e: F.struct(b.alias("b"), s.alias("s"), e.alias("e"))
+    none = F.lit(None).cast("long")
+    parts = F.when(b("s") == b("e"), F.array(part(b("s"), F.col("s"), F.col("e")))).otherwise(F.array(part(b("s"), F.col("s"), none), part(b("e"), none, F.col("e"))))
+    rows = rows.select(*names, F.explode(parts).alias("x")).select(*names, F.col("x.b").alias("b"), F.col("x.s").alias("s"), F.col("x.e").alias("e")).repartition(*keys)
+
     earlier = Window.partitionBy(*names).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = events.groupBy(*keys).agg(F.sum("net").alias("net"), F.sum("opened").alias("opened"))
+    carried = rows.groupBy(*keys).agg((F.count("s") - F.count("e")).alias("net"), F.count("s").alias("opened"))
     carried = carried.select(*keys, F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("net0"), F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("opened0"))
-    inside = Window.partitionBy(*keys).orderBy("t")
-    counted = with_totals(events, carried, keys).select(
-        *keys, "t", "net", "opened",
-        (F.col("net0") + F.sum("net").over(inside)).alias("active"), (F.col("opened0") + F.sum("opened").over(inside)).alias("seen"),
-    )
-    is_open, is_close = F.col("active") == F.col("net"), F.col("active") == 0
-    edges = counted.filter((is_open | is_close) & ~(is_open & is_close)).select(
-        *keys, "t", is_open.alias("open"), F.when(is_open, F.col("seen") - F.col("opened")).otherwise(F.col("seen")).alias("seen")
-    )
-    edges = edges.withColumn("prev", F.lag(F.struct("t", "seen")).over(inside))
+
+    event = lambda t, d: F.struct(F.col(t).alias("t"), F.lit(d).alias("d"))
+    events = rows.select(*keys, F.explode(F.array(event("s", 1), event("e", -1))).alias("x")).select(*keys, F.col("x.t").alias("t"), F.col("x.d").alias("d")).filter("t is not null")
+    # at one instant what begins comes before what ends, so that intervals which touch are of one period
+    inside = Window.partitionBy(*keys).orderBy("t", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = with_totals(events.withColumns({"net": F.sum("d").over(inside), "opened": F.count(F.when(F.col("d") > 0, 1)).over(inside)}), carried, keys)
+    counted = counted.select(*keys, "t", "d", (F.col("net0") + F.col("net")).alias("active"), (F.col("opened0") + F.col("opened")).alias("seen"))
+    is_open = (F.col("d") > 0) & (F.col("active") == 1)
+    edges = counted.filter(is_open | (F.col("active") == 0)).select(*keys, "t", "d", (F.col("seen") - F.when(F.col("d") > 0, 1).otherwise(0)).alias("seen"))
+    before = Window.partitionBy(*keys).orderBy("t", F.desc("d"))
+    edges = edges.withColumn("prev", F.lag(F.struct("t", "seen")).over(before))
     handed = edges.groupBy(*keys).agg(F.max(F.struct("t", "seen")).alias("last"))
     handed = handed.select(*keys, F.lag("last").over(Window.partitionBy(*names).orderBy("b")).alias("handed"))
     whole = with_totals(edges, handed, keys)
     prev = F.coalesce(F.col("prev"), F.col("handed"))
     return whole.select(
         *[F.col(n).alias(c) for c, n in zip(entity, names)],
-        F.when(F.col("open"), "open").otherwise("close").alias("kind"), F.col("t").alias("at"),
-        prev["t"].alias("before"), F.when(~F.col("open"), F.col("seen") - prev["seen"]).alias("n"),
+        F.when(F.col("d") > 0, "open").otherwise("close").alias("kind"), F.col("t").alias("at"),
+        prev["t"].alias("before"), F.when(F.col("d") < 0, F.col("seen") - prev["seen"]).alias("n"),
     )
 
 
