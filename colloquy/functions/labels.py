@@ -24,21 +24,39 @@ def number(label: str | None) -> int | None:
     return int(m[2]) if m and m[1] in NUMBERED else None
 
 
+def entry_forms(own: str | None, name: str | None) -> list[str]:
+    """The texts that an entry stands under, in order of rank, '' where it has none: id, name, last name first, first name alone."""
+    words = [w for w in re.split(r"[\s,]+", name or "") if plain(w)]
+    if not words:
+        return [plain(own), "", "", ""]
+    return [plain(own), plain(name), plain(words[-1]) + "".join(map(plain, words[:-1])), plain(words[0])]
+
+
+def entry_keys(own: str | None, name: str | None) -> list[str | int]:
+    """Every key, a text or a number, under which labels find an entry."""
+    n = number(own)
+    return [f for f in entry_forms(own, name) if f] + ([n] if n is not None else [])
+
+
+def label_keys(label: str) -> list[str | int]:
+    """The keys that a label refers to; a label without letters and digits has one that nothing stands under."""
+    key = plain(label)
+    n = number(label) if key else None
+    return [key, *([n] if n is not None else [])]
+
+
 class SpeakerTable:
     def __init__(self, entries: list[tuple[str | None, str | None]] | None):
-        ids, names, turned, first, numbers = {}, {}, {}, {}, {}
+        by_text: tuple[dict, ...] = ({}, {}, {}, {})
+        numbers: dict[int, str] = {}
         for own, name in entries or []:
             value = own if own is not None else ""
-            if plain(own):
-                ids.setdefault(plain(own), value)
-            words = [w for w in re.split(r"[\s,]+", name or "") if plain(w)]
-            if words:
-                names.setdefault(plain(name), value)
-                turned.setdefault(plain(words[-1]) + "".join(map(plain, words[:-1])), value)
-                first.setdefault(plain(words[0]), value)
+            for known, form in zip(by_text, entry_forms(own, name)):
+                if form:
+                    known.setdefault(form, value)
             if (n := number(own)) is not None:
                 numbers.setdefault(n, value)
-        self.by_text, self.by_number = (ids, names, turned, first), numbers
+        self.by_text, self.by_number = by_text, numbers
 
     def find(self, label: str | None) -> str | None:
         """The id of the entry, or None."""

@@ -101,17 +101,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(inner)
 
 
-@query("p2_orphan_report", _REFS + " select ref_table, kind, strftime(arrived_at, '%Y-%m') period, count(*) n from judged where kind is not null group by all")
-def p2_orphan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphan references by rec_id per table and month of arrival, as the SQL has it (with those of segments: p2_whole_report)."""
-    rows = orphan_references(_records(spark, sf_dir), _references(spark, sf_dir))
-    return rows.groupBy("ref_table", "kind", F.date_format("arrived", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"))
-
-
-@query("p2_whole_report", f"""{_REFS}, {_SPEAKERS}, every as (select ref_table, kind, arrived_at from judged where kind is not null
+@query("p2_orphan_report", f"""{_REFS}, {_SPEAKERS}, every as (select ref_table, kind, arrived_at from judged where kind is not null
   union all select 'segments', 'missing', ingested_at from loose join tr using (transcript_id))
 select ref_table, kind, strftime(arrived_at, '%Y-%m') period, count(*) n from every group by all""")
-def p2_whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p2_orphan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reference of p2_found, those of segments to speakers included, per table and month of arrival."""
     rows = orphan_references(_records(spark, sf_dir), _references(spark, sf_dir)).select("ref_table", "kind", "arrived")
     inner = _places(spark, sf_dir).select(F.lit("segments").alias("ref_table"), F.lit("missing").alias("kind"), F.col("ingested_at").alias("arrived"), F.explode("places").alias("place"))

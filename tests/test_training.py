@@ -12,7 +12,7 @@ from colloquy.functions.times import to_ms
 from colloquy.operators import drift
 from colloquy.operators.delivery import first_delivery
 from colloquy.operators.intervals import periods_and_gaps
-from colloquy.operators.references import dangling_positions, orphan_keys, orphan_references
+from colloquy.operators.references import dangling_positions, deltas, merged as merged_state, orphan_keys, orphan_references, orphans, signed_counts
 
 T0 = datetime(2026, 1, 1)
 
@@ -67,12 +67,29 @@ def test_references(spark):
     refs = [("a", at(2), 1), ("a", at(0), 2), ("b", at(5), 3), ("b", at(6), 4), ("c", at(4), 5), ("d", at(4), 6), ("x", at(1), 7), ("x", None, 8), (None, at(1), 9), ("a", None, 10)] + [("hot", at(1), 100 + i) for i in range(200)]
     df = spark.createDataFrame([(*r, 0) for r in refs], "key string, arrived timestamp, id int, salt int")
     got = {(r.id, r.kind) for r in orphan_references(records, df).collect()}
+    assert got == {(r.id, r.kind) for r in orphan_references(records, df, heavy=1).collect()} and len(got) == orphan_references(records, df, heavy=2).count()
     assert got == {(2, "late"), (4, "deleted"), (5, "deleted"), (6, "deleted"), (7, "missing"), (8, "missing")} | {(100 + i, "missing") for i in range(200)}
     assert {(r.key, r.existing, r.referring) for r in orphan_keys(records, df).collect()} == {("b", 0, 2), ("c", 0, 1), ("d", 0, 1), ("x", 0, 2), ("hot", 0, 200)}
     assert orphan_references(records, df.limit(0)).count() == 0
     assert orphan_references(records.limit(0), df).count() == 209
 
 
+def test_state_of_references_is_maintained(spark):
+    """Deltas of one hour after the other, merged into the state before, are the state of all at once."""
+    rnd = random.Random(6)
+    at = lambda h: T0 + timedelta(hours=h)
+    records = [(f"k{i}", at(rnd.randint(0, 9)), at(rnd.randint(0, 9)) if i % 3 == 0 else None) for i in range(12)]
+    refs = [(f"k{rnd.randint(0, 20)}", at(rnd.randint(0, 9)), i) for i in range(200)] + [(None, at(1), 999)]
+    all_ = deltas(spark.createDataFrame(records, "key string, arrived timestamp, deleted timestamp"), spark.createDataFrame(refs, "key string, arrived timestamp, id int"))
+    state = signed_counts(all_.limit(0))
+    for low, high in ((0, 3), (3, 4), (4, 10), (10, 20)):
+        state = merged_state(state, signed_counts(all_.filter((F.col("at") >= F.lit(at(low))) & (F.col("at") < F.lit(at(high))))))
+    whole = signed_counts(all_)
+    assert sorted(map(tuple, state.collect()), key=str) == sorted(map(tuple, whole.select(state.columns).collect()), key=str)
+    gone = {k for k, _, d in records if d is not None}
+    assert {r.key for r in orphans(state).collect()} == {k for k, _, _ in refs if k is not None and (int(k[1:]) >= 12 or k in gone)}
+
+
 def test_labels():
     t = SpeakerTable([("SPEAKER_01", "Ann Mary Lee"), ("SPEAKER_02", None), ("spk-a1b2c", "Bo"), (None, "Cy Xu"), ("S7", " ")])
     known = {"speaker 1": "SPEAKER_01", "ann": "SPEAKER_01", "LEE, ann  mary": "SPEAKER_01", "Spk-02": "SPEAKER_02", "SPK_A1B2C": "spk-a1b2c", "bo ": "spk-a1b2c", "cy": "", "s 07": "S7"}
@@ -119,7 +136,7 @@ def test_report_holds_every_reference_found(spark, sf):
     q = registry.queries()
     found = {(r.ref_table, r.kind): r["count"] for r in q["p2_found"](spark, sf).groupBy("ref_table", "kind").count().collect()}
     report = {}
-    for r in q["p2_whole_report"](spark, sf).collect():
+    for r in q["p2_orphan_report"](spark, sf).collect():
         report[r.ref_table, r.kind] = report.get((r.ref_table, r.kind), 0) + r.n
     assert report == found and found["segments", "missing"] > 0
 
