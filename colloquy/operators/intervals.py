@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.operators.scan import with_totals
+from colloquy.operators.scan import bucket_key, earlier, with_totals
 
 BUCKET_MS = 600_000
 
@@ -25,34 +25,31 @@ def boundaries(df: DataFrame, entity: list[str], start: str, end: str, bucket: i
     touch are of one period. Repeated rows count as intervals of their own. An empty table gives an empty table.
     """
     names = [f"e{i}" for i in range(len(entity))]
-    keys = [*names, "b"]
     rows = df.filter(F.col(end) > F.col(start)).select(*[F.col(c).alias(n) for c, n in zip(entity, names)], F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
-    b = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    first, last = (bucket_key(names, F.col(c), bucket) for c in "se")
     part = lambda b, s, e: F.struct(b.alias("b"), s.alias("s"), e.alias("e"))
     none = F.lit(None).cast("long")
-    parts = F.when(b("s") == b("e"), F.array(part(b("s"), F.col("s"), F.col("e")))).otherwise(F.array(part(b("s"), F.col("s"), none), part(b("e"), none, F.col("e"))))
-    rows = rows.select(*names, F.explode(parts).alias("x")).select(*names, F.col("x.b").alias("b"), F.col("x.s").alias("s"), F.col("x.e").alias("e")).repartition(*keys)
+    parts = F.when(first == last, F.array(part(first, F.col("s"), F.col("e")))).otherwise(F.array(part(first, F.col("s"), none), part(last, none, F.col("e"))))
+    rows = rows.select(F.inline(parts)).repartition("b")
 
-    earlier = Window.partitionBy(*names).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy(*keys).agg((F.count("s") - F.count("e")).alias("net"), F.count("s").alias("opened"))
-    carried = carried.select(*keys, F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("net0"), F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("opened0"))
+    before = earlier("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("b").agg((F.count("s") - F.count("e")).alias("net"), F.count("s").alias("opened"))
+    carried = carried.select("b", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("net0"), F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("opened0"))
 
     event = lambda t, d: F.struct(F.col(t).alias("t"), F.lit(d).alias("d"))
-    events = rows.select(*keys, F.explode(F.array(event("s", 1), event("e", -1))).alias("x")).select(*keys, F.col("x.t").alias("t"), F.col("x.d").alias("d")).filter("t is not null")
+    events = rows.select("b", F.inline(F.array(event("s", 1), event("e", -1)))).filter("t is not null")
     # at one instant what begins comes before what ends, so that intervals which touch are of one period
-    inside = Window.partitionBy(*keys).orderBy("t", F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = with_totals(events.withColumns({"net": F.sum("d").over(inside), "opened": F.count(F.when(F.col("d") > 0, 1)).over(inside)}), carried, keys)
-    counted = counted.select(*keys, "t", "d", (F.col("net0") + F.col("net")).alias("active"), (F.col("opened0") + F.col("opened")).alias("seen"))
+    inside = Window.partitionBy("b").orderBy("t", F.desc("d"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    counted = with_totals(events.withColumns({"net": F.sum("d").over(upto), "opened": F.count(F.when(F.col("d") > 0, 1)).over(upto)}), carried, "b")
+    counted = counted.select("b", "t", "d", (F.col("net0") + F.col("net")).alias("active"), (F.col("opened0") + F.col("opened")).alias("seen"))
     is_open = (F.col("d") > 0) & (F.col("active") == 1)
-    edges = counted.filter(is_open | (F.col("active") == 0)).select(*keys, "t", "d", (F.col("seen") - F.when(F.col("d") > 0, 1).otherwise(0)).alias("seen"))
-    before = Window.partitionBy(*keys).orderBy("t", F.desc("d"))
-    edges = edges.withColumn("prev", F.lag(F.struct("t", "seen")).over(before))
-    handed = edges.groupBy(*keys).agg(F.max(F.struct("t", "seen")).alias("last"))
-    handed = handed.select(*keys, F.lag("last").over(Window.partitionBy(*names).orderBy("b")).alias("handed"))
-    whole = with_totals(edges, handed, keys)
+    edges = counted.filter(is_open | (F.col("active") == 0)).select("b", "t", "d", (F.col("seen") - F.when(F.col("d") > 0, 1).otherwise(0)).alias("seen"))
+    edges = edges.withColumn("prev", F.lag(F.struct("t", "seen")).over(inside))
+    handed = edges.groupBy("b").agg(F.max(F.struct("t", "seen")).alias("last")).select("b", F.lag("last").over(earlier("b")).alias("handed"))
     prev = F.coalesce(F.col("prev"), F.col("handed"))
-    return whole.select(
-        *[F.col(n).alias(c) for c, n in zip(entity, names)],
+    return with_totals(edges, handed, "b").select(
+        *[F.col(f"b.k.{n}").alias(c) for c, n in zip(entity, names)],
         F.when(F.col("d") > 0, "open").otherwise("close").alias("kind"), F.col("t").alias("at"),
         prev["t"].alias("before"), F.when(F.col("d") < 0, F.col("seen") - prev["seen"]).alias("n"),
     )

@@ -8,21 +8,13 @@ column must grow with ``at``.
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BUCKET = 600.0
 
 
-def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows with the totals of their keys, nulls equal."""
-    totals = totals.withColumnsRenamed({k: f"r_{k}" for k in keys})
-    return rows.join(totals, reduce(and_, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]), "left").drop(*[f"r_{k}" for k in keys])
-
-
 def cut_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir; only where none is named, as in a local test, one is made."""
     context = spark.sparkContext
@@ -40,21 +32,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _bucketed(df: DataFrame, entity: list[str], at: str, bucket: float) -> tuple[DataFrame, list[str]]:
-    keys = [*entity, "__b"]
-    return df.withColumn("__b", F.floor(F.col(at) / F.lit(bucket))).repartition(*keys), keys
+def bucket_key(entity: list[str], at: Column, bucket: float) -> Column:
+    """The entity and its time bucket as one value. A struct is never null and equal where its fields are, nulls included, so that groups, windows and joins
+    by it are all served by one shuffle."""
+    return F.struct(F.struct(*entity).alias("k"), F.floor(at / F.lit(bucket)).alias("b"))
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """The rows with the totals of their bucket."""
+    return rows.join(totals.withColumnRenamed(key, "__r"), F.col(key) == F.col("__r"), "left").drop("__r")
+
+
+def earlier(key: str) -> WindowSpec:
+    """The earlier buckets of a bucket's entity."""
+    return Window.partitionBy(f"{key}.k").orderBy(f"{key}.b")
+
+
+def _bucketed(df: DataFrame, entity: list[str], at: str, bucket: float) -> DataFrame:
+    return df.withColumn("__b", bucket_key(entity, F.col(at), bucket)).repartition("__b")
 
 
 def running(df: DataFrame, entity: list[str], at: str, order: list[str], totals: dict[str, tuple[str, Column]], inclusive: bool = False, bucket: float = BUCKET) -> DataFrame:
     """Adds each total (max or sum) of the entity's earlier rows, with ``inclusive`` of the row too; null where there are none."""
-    rows, keys = _bucketed(df, entity, at, bucket)
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    before = Window.partitionBy(*entity).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _bucketed(df, entity, at, bucket)
+    inside = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    before = earlier("__b").rowsBetween(Window.unboundedPreceding, -1)
     fn = {"max": F.max, "sum": F.sum}
-    carried = rows.groupBy(*keys).agg(*[fn[how](c).alias(f"__c_{n}") for n, (how, c) in totals.items()])
-    carried = carried.select(*keys, *[fn[how](f"__c_{n}").over(before).alias(f"__c_{n}") for n, (how, _) in totals.items()])
+    carried = rows.groupBy("__b").agg(*[fn[how](c).alias(f"__c_{n}") for n, (how, c) in totals.items()])
+    carried = carried.select("__b", *[fn[how](f"__c_{n}").over(before).alias(f"__c_{n}") for n, (how, _) in totals.items()])
     rows = rows.withColumns({f"__i_{n}": fn[how](c).over(inside) for n, (how, c) in totals.items()})
-    rows = with_totals(rows, carried, keys)
+    rows = with_totals(rows, carried, "__b")
     for n, (how, _) in totals.items():
         a, b = F.col(f"__c_{n}"), F.col(f"__i_{n}")
         rows = rows.withColumn(n, F.greatest(a, b) if how == "max" else F.coalesce(a + b, a, b))
@@ -63,19 +70,20 @@ def running(df: DataFrame, entity: list[str], at: str, order: list[str], totals:
 
 def neighbours(df: DataFrame, entity: list[str], at: str, order: list[str], before: dict[str, str] | None = None, after: dict[str, str] | None = None, bucket: float = BUCKET) -> DataFrame:
     """Adds columns of the entity's preceding (``before``: new name -> column) and following row, null where there is none."""
-    rows, keys = _bucketed(df, entity, at, bucket)
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    over = Window.partitionBy(*entity).orderBy("__b")
+    rows = _bucketed(df, entity, at, bucket)
+    inside = Window.partitionBy("__b").orderBy(*order)
+    ends, added = [], {}
     for names, near, edge, sign in ((before, F.lag, F.max, "p"), (after, F.lead, F.min, "n")):
-        if not names:
-            continue
-        what = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
-        row = F.struct(F.struct(*order).alias("o"), what.alias("v"))
-        ends = rows.groupBy(*keys).agg(edge(row).alias("__e"))
-        ends = ends.select(*keys, near(F.col("__e.v")).over(over).alias(f"__{sign}e"))
-        rows = with_totals(rows.withColumn(f"__{sign}i", near(what).over(inside)), ends, keys)
-        value = F.coalesce(f"__{sign}i", f"__{sign}e")
-        rows = rows.withColumns({n: value[n] for n in names}).drop(f"__{sign}i", f"__{sign}e")
+        if names:
+            what = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+            ends.append((edge(F.struct(F.struct(*order).alias("o"), what.alias("v"))).alias(f"__{sign}"), near(F.col(f"__{sign}.v")).over(earlier("__b")).alias(f"__{sign}e")))
+            added[f"__{sign}i"] = near(what).over(inside)
+    carried = rows.groupBy("__b").agg(*[e for e, _ in ends]).select("__b", *[x for _, x in ends])
+    rows = with_totals(rows.withColumns(added), carried, "__b")
+    for names, sign in ((before, "p"), (after, "n")):
+        if names:
+            value = F.coalesce(f"__{sign}i", f"__{sign}e")
+            rows = rows.withColumns({n: value[n] for n in names}).drop(f"__{sign}i", f"__{sign}e")
     return rows.drop("__b")
 
 
@@ -83,14 +91,14 @@ def islands(df: DataFrame, entity: list[str], start: str, end: str, order: list[
     """Numbers stretches between which nothing reaches over: a row begins one where its start is more than ``gap`` beyond all earlier
     ends and, with ``least``, at least that much of it comes before its end and before the next start.
 
-    Each step reads its input twice, for the rows and for what buckets hand on; the input is checkpointed instead of computed twice.
+    Each step shuffles its input once, by bucket, and reads that shuffle for the rows and for what buckets hand on.
     """
     rows = df
     if least is not None:
-        rows = neighbours(cut(rows), entity, start, order, after={"__next": start})
-    rows = running(cut(rows), entity, start, order, {"__top": ("max", F.col(end))})
+        rows = neighbours(rows, entity, start, order, after={"__next": start})
+    rows = running(rows, entity, start, order, {"__top": ("max", F.col(end))})
     fresh = F.col("__top").isNull() | (F.col(start) > F.col("__top") + F.lit(gap))
     if least is not None:
         fresh &= F.least(F.col(end), F.col("__next")) - F.col(start) >= least
     rows = rows.withColumn("__fresh", fresh.cast("int")).drop("__top", "__next")
-    return running(cut(rows), entity, start, order, {name: ("sum", F.col("__fresh"))}, inclusive=True).drop("__fresh")
+    return running(rows, entity, start, order, {name: ("sum", F.col("__fresh"))}, inclusive=True).drop("__fresh")
