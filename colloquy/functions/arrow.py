@@ -36,3 +36,33 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     off = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) for t in texts], out=off[1:])
     return flat, off
+
+
+def numbered(batches: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray]:
+    """The rows as one table, and the number of each row's group; rows of one group (keys without nulls) stand together."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    fresh = np.zeros(max(rows.num_rows - 1, 0), bool)
+    for k in keys:
+        fresh |= np.asarray(pc.not_equal(rows[k].slice(1), rows[k].slice(0, rows.num_rows - 1)))
+    return rows, np.concatenate([np.zeros(min(rows.num_rows, 1), dtype=np.int64), np.cumsum(fresh)])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in parts of whole groups, of about ``most`` rows unless one group is larger, with the number of each row's group."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < most:
+            continue
+        rows, g = numbered(held, keys)
+        cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+        if cut:
+            yield rows.slice(0, cut), g[:cut]
+        held = rows.slice(cut).to_batches()
+        n = 0 if not cut else rows.num_rows - cut
+    if held:
+        rows, g = numbered(held, keys)
+        if rows.num_rows:
+            yield rows, g

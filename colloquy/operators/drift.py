@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.matching import best_assignment
+
 SKETCH = 8
 TAG = "schema"
 LIKELY = 1.5  # the type, and half of what a like name or like values can add
@@ -120,31 +122,8 @@ def likeness(went: tuple[str, list, list], came: tuple[str, list, list]) -> floa
 
 
 def assignment(score: np.ndarray) -> list[tuple[int, int]]:
-    """The matching of greatest total score of rows to columns (shortest augmenting paths); pairs of score 0 are left out."""
-    turned = score.shape[0] > score.shape[1]
-    cost = -(score.T if turned else score)
-    n, m = cost.shape
-    u, v, row = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        row[0], j = i, 0
-        best, used, via = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, dtype=int)
-        while row[j]:
-            used[j] = True
-            free = np.flatnonzero(~used[1:]) + 1
-            now = cost[row[j] - 1, free - 1] - u[row[j]] - v[free]
-            better = now < best[free]
-            best[free[better]], via[free[better]] = now[better], j
-            nxt = free[int(best[free].argmin())]
-            step = best[nxt]
-            u[row[used]] += step
-            v[used] -= step
-            best[~used] -= step
-            j = int(nxt)
-        while j:
-            row[j], j = row[via[j]], int(via[j])
-    pairs = [(int(row[j]) - 1, j - 1) for j in range(1, m + 1) if row[j]]
-    pairs = [(b, a) if turned else (a, b) for a, b in pairs]
-    return sorted((a, b) for a, b in pairs if score[a, b] > 0)
+    """The matching of greatest total score of rows to columns; pairs of score 0 are left out."""
+    return [(i, j) for i, j in best_assignment(score) if score[i, j] > 0]
 
 
 def likely(went: tuple[str, list, list], came: tuple[str, list, list]) -> float:

@@ -6,14 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = 60.0
+CELLS = 1200
+SPAN = 64
+
+
+def _in_buckets(df: DataFrame, start: str, end: str, entity: str, bucket: float, starts: DataFrame) -> DataFrame:
+    """The rows in every bucket that they touch as ``__b``; an interval over ``SPAN`` buckets only in the one where it begins and in those where one of the other side does."""
+    at = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    rows = df.withColumns({"__b0": at(start), "__b1": at(end)}).filter("__b1 >= __b0")
+    is_long = F.col("__b1") - F.col("__b0") >= SPAN
+    short = rows.filter(~is_long).withColumn("__b", F.explode(F.sequence("__b0", "__b1")))
+    long = rows.filter(is_long)
+    others = long.join(starts, entity).filter((F.col("__b") > F.col("__b0")) & (F.col("__b") <= F.col("__b1")))
+    return short.unionByName(long.withColumn("__b", F.col("__b0"))).unionByName(others.select(*short.columns)).drop("__b0", "__b1")
 
 
 def overlapping(a: DataFrame, b: DataFrame, entity: str, bucket: float = BUCKET) -> DataFrame:
     """Pairs of intervals (a.start, a.end, b.s, b.e) of one entity that overlap, each once: both are sent to the time buckets they touch and
     meet by equality; the pair belongs to the bucket in which the later of the two begins."""
-    span = lambda s, e: F.explode(F.sequence(F.floor(s / bucket), F.floor(e / bucket)))
-    x = a.withColumn("__b", span(F.col("start"), F.col("end")))
-    y = b.withColumn("__b", span(F.col("s"), F.col("e")))
+    begins = lambda df, c: df.select(entity, F.floor(F.col(c) / bucket).cast("long").alias("__b")).distinct()
+    x = _in_buckets(a, "start", "end", entity, bucket, begins(b, "s"))
+    y = _in_buckets(b, "s", "e", entity, bucket, begins(a, "start"))
     pairs = x.join(y, [entity, "__b"]).filter((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
     return pairs.filter(F.floor(F.greatest("start", "s") / bucket) == F.col("__b")).drop("__b")
 
@@ -30,22 +43,20 @@ def speaker_by_overlap(segments: DataFrame, turns: DataFrame, key: list[str], co
     return ranked.filter(ok).select(*key, best["who"].alias("speaker"))
 
 
-def _cells(points: DataFrame, step: float) -> DataFrame:
-    return points.select("rec_id", "word_id", (F.col("start") / step).cast("long").alias("cell"))
-
-
-def label_at(points: DataFrame, raster: DataFrame, step: float) -> DataFrame:
-    p = _cells(points, step).join(raster, ["rec_id", "cell"], "left")
-    return p.select("rec_id", "word_id", F.coalesce("speaker", F.lit(-1)).alias("speaker"))
+def nearest_label(points: DataFrame, spans: DataFrame, step: float, before: int, after: int) -> DataFrame:
+    """rec_id, word_id, speaker of the span (rec_id, from, to, speaker) nearest to the cell of a point's start, from ``before`` cells before it to one short of
+    ``after`` after it, the earlier of equals; -1 without any."""
+    at = (F.col("start") / step).cast("long")
+    p = points.select("rec_id", "word_id", at.alias("at"), (at - before).alias("start"), (at + after).alias("end"))
+    met = overlapping(p, spans.select("rec_id", F.col("from").alias("s"), F.col("to").alias("e"), "speaker"), "rec_id", CELLS)
+    cell = F.greatest("s", F.least("at", F.col("e") - 1))
+    near = met.groupBy("rec_id", "word_id").agg(F.min_by("speaker", F.struct(F.abs(cell - F.col("at")), cell)).alias("near"))
+    return points.select("rec_id", "word_id").join(near, ["rec_id", "word_id"], "left").select("rec_id", "word_id", F.coalesce("near", F.lit(-1)).alias("speaker"))
 
 
-def nearest_label(points: DataFrame, raster: DataFrame, step: float, reach: int) -> DataFrame:
-    """As label_at; a point in silence takes the label of the nearest cell from ``reach`` before to one short of it after. Only points in silence
-    are sent to the cells around them."""
-    p = _cells(points, step).join(raster, ["rec_id", "cell"], "left")
-    silent = p.filter("speaker is null").select("rec_id", "word_id", F.col("cell").alias("at"), F.explode(F.sequence(F.col("cell") - reach, F.col("cell") + reach - 1)).alias("cell"))
-    near = silent.join(raster, ["rec_id", "cell"]).groupBy("rec_id", "word_id").agg(F.min_by("speaker", F.struct(F.abs(F.col("cell") - F.col("at")), "cell")).alias("near"))
-    return p.join(near, ["rec_id", "word_id"], "left").select("rec_id", "word_id", F.coalesce("speaker", "near", F.lit(-1)).alias("speaker"))
+def label_at(points: DataFrame, spans: DataFrame, step: float) -> DataFrame:
+    """As nearest_label, of the span that holds the cell itself."""
+    return nearest_label(points, spans, step, 0, 1)
 
 
 def intersection_over_union(a: Column, b: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Scores of one timeline against another, on cells of equal length."""
+"""Scores of one timeline against another, on cells of equal length, which are held and counted as spans."""
 
 from __future__ import annotations
 
@@ -9,67 +9,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.matching import best_assignment
 from colloquy.operators import timelines as tl
-from colloquy.operators.scan import cut, islands
+from colloquy.operators.joins import overlapping
+from colloquy.operators.painting import painted
+from colloquy.operators.scan import islands
 from colloquy.operators.walks import walk
 
+BUCKET = 600  # cells
+
 
 def frames(ref: DataFrame, hyp: DataFrame, step: float) -> DataFrame:
-    """rec_id, cell, ref, hyp of each cell in which either side speaks; -1 is silence."""
-    a = tl.raster(ref, step).withColumnRenamed("speaker", "ref")
-    b = tl.raster(hyp, step).withColumnRenamed("speaker", "hyp")
-    return a.join(b, ["rec_id", "cell"], "full").fillna(-1, ["ref", "hyp"])
+    """rec_id, from, to, ref, hyp, n of each span of cells in which either side speaks and neither changes; -1 is silence, n its cells."""
+    return painted({"ref": tl.layer(ref, step), "hyp": tl.layer(hyp, step)}).withColumn("n", F.col("to") - F.col("from"))
 
 
 def counts(f: DataFrame) -> DataFrame:
-    """rec_id, ref, hyp, n: how many cells have each pair of labels, which is all that most scores need. Checkpointed, since it is small and the
-    mapping and the scores both read it."""
-    return cut(f.groupBy("rec_id", "ref", "hyp").agg(F.count("*").alias("n")))
+    """rec_id, ref, hyp, n: how many cells have each pair of labels, which is all that most scores need."""
+    return f.groupBy("rec_id", "ref", "hyp").agg(F.sum("n").alias("n"))
 
 
 def overlap(f: DataFrame) -> DataFrame:
-    """rec_id, hyp, ref, n where both speak; f: cells or their counts."""
-    both = f.filter("ref >= 0 and hyp >= 0")
-    return both.select("rec_id", "hyp", "ref", "n") if "n" in f.columns else both.groupBy("rec_id", "hyp", "ref").agg(F.count("*").alias("n"))
-
-
-def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Rows to columns, one to one, of greatest total gain; every row or every column is used."""
-    turned = gain.shape[0] > gain.shape[1]
-    cost = -(gain.T if turned else gain).astype(float)
-    n, m = cost.shape
-    price_r, price_c, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for r in range(n):
-        dist, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        at, base, col = r, 0.0, -1
-        while True:
-            reduced = base + cost[at] - price_r[at] - price_c
-            better = ~done & (reduced < dist)
-            dist[better], via[better] = reduced[better], col
-            col = int(np.where(done, np.inf, dist).argmin())
-            base, done[col] = dist[col], True
-            if owner[col] < 0:
-                break
-            at = owner[col]
-        settled = done & (np.arange(m) != col)
-        price_r[r] += base
-        price_r[owner[settled]] += base - dist[settled]
-        price_c[settled] -= base - dist[settled]
-        while via[col] >= 0:
-            owner[col], col = owner[via[col]], via[col]
-        owner[col] = r
-    pairs = [(int(owner[c]), c) for c in range(m) if owner[c] >= 0]
-    return sorted((c, r) if turned else (r, c) for r, c in pairs)
+    """rec_id, hyp, ref, n where both speak; f: spans or their counts."""
+    return f.filter("ref >= 0 and hyp >= 0").groupBy("rec_id", "hyp", "ref").agg(F.sum("n").alias("n"))
 
 
 def assign(matrix: DataFrame) -> DataFrame:
-    """rec_id, hyp, ref of the best one-to-one mapping. A recording's matrix is as large as its numbers of speakers, whatever its length."""
+    """rec_id, hyp, ref of the best one-to-one mapping; matrix: counts, of which those with silence do not matter. A recording's matrix is as large as its
+    numbers of speakers, whatever its length."""
     schema = pa.schema([("rec_id", pa.string()), ("hyp", pa.int32()), ("ref", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for rec, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not cells:
+                    continue
                 hyps, refs = sorted({c["hyp"] for c in cells}), sorted({c["ref"] for c in cells})
                 gain = np.zeros((len(hyps), len(refs)))
                 for c in cells:
@@ -78,17 +53,18 @@ def assign(matrix: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    return matrix.groupBy("rec_id").agg(F.collect_list(F.struct("hyp", "ref", "n"))).mapInArrow(run, "rec_id string, hyp int, ref int")
+    # not a filter, which would go below the counts and have them made once more for the scores
+    both = F.when((F.col("ref") >= 0) & (F.col("hyp") >= 0), F.struct("hyp", "ref", "n"))
+    return matrix.groupBy("rec_id").agg(F.collect_list(both)).mapInArrow(run, "rec_id string, hyp int, ref int")
 
 
-def _mapped(f: DataFrame, mapping: DataFrame) -> DataFrame:
-    counts = f if "n" in f.columns else f.groupBy("rec_id", "ref", "hyp").agg(F.count("*").alias("n"))
+def _mapped(counts: DataFrame, mapping: DataFrame) -> DataFrame:
     m = mapping.select("rec_id", "hyp", F.col("ref").alias("as_ref"))
     return counts.join(m, ["rec_id", "hyp"], "left").withColumn("as_ref", F.when(F.col("hyp") < 0, -1).otherwise(F.coalesce("as_ref", F.lit(-9))))
 
 
 def score(f: DataFrame, mapping: DataFrame) -> DataFrame:
-    """f: cells or their counts. frame_acc over cells where both speak; miss, fa, conf and their sum der over cells where either does. Without any mapping 0 and 1."""
+    """f: counts. frame_acc over cells where both speak; miss, fa, conf and their sum der over cells where either does. Without any mapping 0 and 1."""
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     ref, hyp, both = F.col("ref") >= 0, F.col("hyp") >= 0, (F.col("ref") >= 0) & (F.col("hyp") >= 0)
     c = _mapped(f, mapping).groupBy("rec_id").agg(
@@ -111,9 +87,9 @@ def recall(f: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def majority_labels(ref: DataFrame, f: DataFrame, step: float, least: float = 1.0) -> DataFrame:
     """rec_id, idx, majority: the label that most cells of a turn of at least ``least`` seconds have, silence apart, the smallest at a tie."""
-    a = (F.col("start") / step).cast("long")
-    cells = ref.filter(F.col("end") - F.col("start") >= least).select("rec_id", "idx", F.explode(F.sequence(a, F.greatest(a + 1, F.ceil(F.col("end") / step)) - 1)).alias("cell"))
-    votes = cells.join(f.filter("hyp >= 0"), ["rec_id", "cell"]).groupBy("rec_id", "idx", "hyp").agg(F.count("*").alias("n"))
+    turns = tl.layer(ref.filter(F.col("end") - F.col("start") >= least), step).select("rec_id", F.col("rank").alias("idx"), F.col("a").alias("start"), F.col("b").alias("end"))
+    spans = f.filter("hyp >= 0").select("rec_id", F.col("from").alias("s"), F.col("to").alias("e"), "hyp")
+    votes = overlapping(turns, spans, "rec_id", BUCKET).groupBy("rec_id", "idx", "hyp").agg(F.sum(F.least("end", "e") - F.greatest("start", "s")).alias("n"))
     return votes.groupBy("rec_id", "idx").agg(F.max_by("hyp", F.struct("n", -F.col("hyp"))).alias("majority"))
 
 

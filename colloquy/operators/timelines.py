@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.painting import painted
 from colloquy.operators.scan import islands, neighbours
 
 REC, ORDER = ["rec_id"], ["start", "end", "idx"]
@@ -156,10 +157,18 @@ def ends_from_starts(t: DataFrame, last: Column) -> DataFrame:
     return t.withColumn("end", F.when(end <= F.col("start"), F.col("start") + 0.3).otherwise(end)).drop("__next")
 
 
-def raster(t: DataFrame, step: float, at_least_one: bool = True) -> DataFrame:
-    """rec_id, cell, speaker: the cells of ``step`` seconds that each turn covers; later turns (by idx) lie over earlier ones."""
+def layer(t: DataFrame, step: float, at_least_one: bool = True) -> DataFrame:
+    """The turns as intervals of cells of ``step`` seconds to be painted, later turns (by idx) over earlier ones."""
     a = (F.col("start") / step).cast("long")
     b = F.ceil(F.col("end") / step)
-    b = F.greatest(a + 1, b) if at_least_one else b
-    cells = t.withColumns({"a": a, "b": b}).filter("b > a").select("rec_id", "idx", "speaker", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("cell"))
-    return cells.groupBy("rec_id", "cell").agg(F.max_by("speaker", "idx").alias("speaker"))
+    return t.select("rec_id", a.alias("a"), (F.greatest(a + 1, b) if at_least_one else b).alias("b"), F.col("idx").alias("rank"), F.col("speaker").alias("label"))
+
+
+def raster_spans(t: DataFrame, step: float, at_least_one: bool = True) -> DataFrame:
+    """rec_id, from, to (exclusive), speaker: the cells that turns cover, in spans of one speaker."""
+    return painted({"speaker": layer(t, step, at_least_one)})
+
+
+def raster(t: DataFrame, step: float, at_least_one: bool = True) -> DataFrame:
+    """rec_id, cell, speaker of every cell; what is made of spans needs no cells."""
+    return raster_spans(t, step, at_least_one).select("rec_id", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("cell"), "speaker")

@@ -225,7 +225,7 @@ def j05_speaker_by_overlap(spark, sf_dir):
 
 @query("j07_label_at", f"with {TL}, {WORDS}, {raster_sql('tl', 'r', '0.05e0', 0)} select w.rec_id, word_id, coalesce(r.sp, -1) speaker from w left join r on r.rec_id = w.rec_id and r.cell = trunc(st / 0.05e0)::bigint")
 def j07_label_at(spark, sf_dir):
-    return jn.label_at(words(spark, sf_dir), tl.raster(timeline(spark, sf_dir), 0.05, at_least_one=False), 0.05)
+    return jn.label_at(words(spark, sf_dir), tl.raster_spans(timeline(spark, sf_dir), 0.05, at_least_one=False), 0.05)
 
 
 @query("j06_nearest_label", f"""with {TL}, {WORDS}, {raster_sql('tl', 'r', '0.05e0', 0)}, c as (select rec_id, word_id, trunc(st / 0.05e0)::bigint cell from w), at_ as (select c.*, r.sp from c left join r using (rec_id, cell)),
@@ -233,4 +233,4 @@ near as (select c.rec_id, c.word_id, arg_min(r.sp, (abs(r.cell - c.cell), r.cell
 select a.rec_id, a.word_id, coalesce(a.sp, n.sp, -1) speaker from at_ a left join near n using (rec_id, word_id)""")
 def j06_nearest_label(spark, sf_dir):
     """The label at a word's start or, in silence, that of the nearest labelled cell within a second, the first of equals."""
-    return jn.nearest_label(words(spark, sf_dir), tl.raster(timeline(spark, sf_dir), 0.05, at_least_one=False), 0.05, 20)
+    return jn.nearest_label(words(spark, sf_dir), tl.raster_spans(timeline(spark, sf_dir), 0.05, at_least_one=False), 0.05, 20, 20)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.times import timed, to_ms
-from colloquy.operators import scan, scoring
+from colloquy.operators import scoring
 from colloquy.operators import timelines as tl
 from colloquy.operators.delivery import first_delivery
 from colloquy.plans.core_training import TURNS, turns
@@ -177,8 +177,8 @@ def m17_raster(spark, sf_dir):
 @query("m19_label_track", f"with {TL}, {raster_sql('tl', 'r', '0.05e0', 0)} select rec_id, count(*) n, sum(sp) total, min(cell) first_cell from r group by all")
 def m19_label_track(spark, sf_dir):
     """Cells per recording of the label track, which leaves out turns that cover no whole cell edge."""
-    r = tl.raster(timeline(spark, sf_dir), 0.05, at_least_one=False)
-    return r.groupBy("rec_id").agg(F.count("*").alias("n"), F.sum("speaker").alias("total"), F.min("cell").alias("first_cell"))
+    r = tl.raster_spans(timeline(spark, sf_dir), 0.05, at_least_one=False).withColumn("n", F.col("to") - F.col("from"))
+    return r.groupBy("rec_id").agg(F.sum("n").alias("n"), F.sum(F.col("speaker") * F.col("n")).alias("total"), F.min("from").alias("first_cell"))
 
 
 # The second timeline: other labels and times for some turns, by a rule on the turn's number, so that every branch of the scores is met.
@@ -199,13 +199,13 @@ overlap as (select rec_id, h, r, count(*) n from frames where h >= 0 and r >= 0
 
 
 def _frames(spark, sf_dir):
-    t = scan.cut(timeline(spark, sf_dir))
+    t = timeline(spark, sf_dir)
     return scoring.frames(t, hypothesis(t), 0.1)
 
 
 @query("j12_frames", f"with {PAIR} select rec_id, r ref, h hyp, count(*) n from frames group by all")
 def j12_frames(spark, sf_dir):
-    return _frames(spark, sf_dir).groupBy("rec_id", "ref", "hyp").agg(F.count("*").alias("n"))
+    return scoring.counts(_frames(spark, sf_dir))
 
 
 @query("a04_overlap_matrix", f"with {PAIR} select rec_id, h hyp, r ref, n from overlap")
@@ -215,7 +215,7 @@ def a04_overlap_matrix(spark, sf_dir):
 
 @query("j13_assignment")
 def j13_assignment(spark, sf_dir):
-    return scoring.assign(scoring.overlap(_frames(spark, sf_dir)))
+    return scoring.assign(scoring.counts(_frames(spark, sf_dir)))
 
 
 # The best total of any one-to-one mapping, by enumeration over subsets of reference speakers, hypothesis speaker by speaker.
@@ -235,7 +235,7 @@ case when hit is null then 1e0 else fa::double / speech end fa, case when hit is
 def score_pairs(spark, sf_dir):
     """The flagship: accuracy and error rates of a timeline against another under the best one-to-one mapping of speakers."""
     n = scoring.counts(_frames(spark, sf_dir))
-    return scoring.score(n, scoring.assign(scoring.overlap(n)))
+    return scoring.score(n, scoring.assign(n))
 
 
 @query("a08_mean_scores", f"""with recursive {PAIR}, {BEST}, c as (select rec_id, count_if(r >= 0 or h >= 0) speech, count_if(r >= 0 and h >= 0) both_, count_if(r >= 0 and h < 0) miss, count_if(r < 0 and h >= 0) fa from frames group by all)
@@ -247,14 +247,14 @@ def a08_mean_scores(spark, sf_dir):
 @query("a06_recall")
 def a06_recall(spark, sf_dir):
     n = scoring.counts(_frames(spark, sf_dir))
-    return scoring.recall(n, scoring.assign(scoring.overlap(n)))
+    return scoring.recall(n, scoring.assign(n))
 
 
 @query("a07_turn_majority")
 def a07_turn_majority(spark, sf_dir):
-    t = scan.cut(timeline(spark, sf_dir))
+    t = timeline(spark, sf_dir)
     f = scoring.frames(t, hypothesis(t), 0.1)
-    return scoring.turn_majority(t, f, scoring.assign(scoring.overlap(f)), 0.1)
+    return scoring.turn_majority(t, f, scoring.assign(scoring.counts(f)), 0.1)
 
 
 @query("a07_majority_labels", f"""with {PAIR}, cells as (select rec_id, idx, unnest(range(floor(st / 0.1e0)::bigint, greatest(floor(st / 0.1e0)::bigint + 1, ceil(en / 0.1e0)::bigint))) cell from tl where en - st >= 1),
@@ -272,11 +272,11 @@ def j14_change_point_match(spark, sf_dir):
 
 @query("a30_pair_report")
 def a30_pair_report(spark, sf_dir):
-    """One row per recording with every score; the timelines and cells are checkpointed, since each score reads them."""
-    t = scan.cut(timeline(spark, sf_dir))
-    h = scan.cut(hypothesis(t))
-    f = scan.cut(scoring.frames(t, h, 0.1))
+    """One row per recording with every score."""
+    t = timeline(spark, sf_dir)
+    h = hypothesis(t)
+    f = scoring.frames(t, h, 0.1)
     n = scoring.counts(f)
-    m = scoring.assign(scoring.overlap(n))
+    m = scoring.assign(n)
     out = scoring.score(n, m).join(scoring.turn_majority(t, f, m, 0.1), "rec_id", "left")
     return out.join(scoring.match_change_points(tl.change_points(t), tl.change_points(h), 0.5), "rec_id", "left")

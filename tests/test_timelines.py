@@ -241,3 +241,39 @@ def test_windows_of_recordings_of_any_length(spark, tmp_path):
         for r in registry.queries()[name](spark, str(tmp_path)).toPandas().itertuples():
             got.setdefault(r.rec_id, []).append(r.start)
         assert {k: sorted(v) for k, v in got.items()} == {k: loop(round(v * rate), size, hop, flush) for k, v in lens.items()}
+
+
+@pytest.mark.parametrize("bucket", [3, 40, 10_000])
+def test_painted_equals_cells(spark, bucket):
+    """Spans against cells, with one interval that reaches over very many buckets."""
+    from colloquy.operators.painting import painted
+
+    rnd = random.Random(bucket)
+    rows = [(rnd.choice(["hot", "hot", "a", None]), a := rnd.randint(0, 200), a + rnd.choice([-1, 0, 1, 4, 30, 120]), i, rnd.choice([0, 1, 2, None])) for i in range(120)]
+    far = [("hot", 150, 10**11, 500, 7), ("b", -5, 10**12, 1, 1), ("b", 10**11, 10**11 + 2, 2, 2)]
+    kind = "rec_id string, a long, b long, rank long, label int"
+    one, two = spark.createDataFrame(rows[::2] + far, kind), spark.createDataFrame(rows[1::2], kind)
+    got = sorted(tuple(r) for r in painted({"x": one, "y": two}, bucket).collect())
+    assert all(p[0] != q[0] or p[2] <= q[1] for p, q in zip(got, got[1:])) and all(r[2] > r[1] for r in got)
+    want = {}
+    for layer, part in ((0, rows[::2] + far), (1, rows[1::2])):
+        for rec, a, b, i, label in sorted(part, key=lambda r: r[3]):
+            if rec is not None and label is not None:
+                for c in range(a, min(b, 400)):
+                    want.setdefault((rec, c), [-1, -1])[layer] = label
+    cells = {(r[0], c): [r[3], r[4]] for r in got for c in range(r[1], min(r[2], 400))}
+    assert cells == want
+    late = [(r[1], r[2], r[3]) for r in got if r[0] == "b" and r[2] > 10**11]
+    assert sum(b - max(a, 10**11) for a, b, x in late if x == 1) == 10**12 - 10**11 - 2 and [b - a for a, b, x in late if x == 2] == [2]
+    assert painted({"x": one.limit(0)}).count() == 0
+
+
+def test_overlapping_pairs_come_once(spark):
+    from colloquy.operators.joins import overlapping
+
+    rnd = random.Random(4)
+    make = lambda n: [(rnd.choice("ab"), float(s := rnd.randint(0, 300)), float(s + rnd.choice([0, 1, 7, 90, 10**9])), i) for i in range(n)]
+    x, y = make(60), make(50)
+    got = [(r.i, r.j) for r in overlapping(spark.createDataFrame(x, "k string, start double, end double, i int"), spark.createDataFrame(y, "k string, s double, e double, j int"), "k", 3.0).collect()]
+    want = {(i, j) for k, a, b, i in x for q, s, e, j in y if k == q and s < b and a < e}
+    assert len(got) == len(set(got)) and set(got) == want
