@@ -1,7 +1,8 @@
 """Schemas that drift between the files of a feed.
 
 Every JSON document is profiled: the paths of its members, their JSON types and a sketch of their values (the least hashes of the
-values seen). Profiles are unions of sets, so they are reduced per batch and again per file before anything is compared. Between
+values seen). Profiles are unions of sets: each batch makes one of every file that it meets, a row of arrays, and these meet by feed, in order of files, where they are
+put together and each file is compared with the one before; a task holds two files' profiles at a time. Between
 a file and its predecessor, the fields that went and the fields that came under one parent form a bipartite graph, weighed by
 type, by likeness of the names and by overlap of the value sketches; an optimal matching of it proposes the renames. As a
 change, a proposal stands where it is unambiguous: one field went, one came, of the same type. Columns are unified into one name, the
@@ -14,12 +15,12 @@ ever null do not exist; an object without members and an empty list are fields,
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.matching import best_assignment
@@ -68,37 +69,87 @@ def members(document: dict) -> Iterator[tuple[str, str, object]]:
             stack += [(f"{path}[]", x) for x in value if isinstance(x, (dict, list))]
 
 
+KINDS = {str: 1, bool: 2, int: 4, float: 4, list: 8, dict: 16}  # one bit for each JSON type
+
+
+def _profile(documents: list[dict]) -> dict[str, tuple[int, bytes]]:
+    """path -> JSON types and sketch of the members of the documents."""
+    seen: dict[str, list] = {}
+
+    stack: list[tuple[dict | list, str]] = [(d, "") for d in documents]
+    while stack:  # however deep
+        whole, under = stack.pop()
+        if type(whole) is list:
+            stack += [(x, under + "." if type(x) is dict else under + "[]") for x in whole if type(x) in (dict, list)]
+            continue
+        for name, value in whole.items():
+            if value is None:
+                continue
+            path, kind = under + name, type(value)
+            field = seen.get(path)
+            if field is None:
+                field = seen[path] = [0, set()]
+            field[0] |= KINDS[kind]
+            if kind is dict:
+                stack.append((value, path + "."))
+            elif kind is list:
+                stack.append((value, path + "[]"))
+            else:
+                field[1].add(value)
+    return {path: (kinds, _sketch(values)) for path, (kinds, values) in seen.items()}
+
+
+def _sketch(values: set) -> bytes:
+    """The least hashes of the values, as 32-bit numbers."""
+    hashes = sorted({zlib.crc32((v if type(v) is str else repr(v)).encode("utf-8", "surrogatepass")) for v in values})[:SKETCH]
+    return np.array(hashes, dtype="<u4").tobytes()
+
+
 def profile(df: DataFrame, feed: str, file_no: str, payload: str) -> DataFrame:
-    """feed, file_no, path, kinds (sorted), sketch (the least hashes of the values) and tags (the values, of the tag's path)."""
-    shape = "feed string, file_no int, path string, kind string, sketch array<int>, tag string"
-    schema = pa.schema([("feed", pa.string()), ("file_no", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("sketch", pa.list_(pa.int32())), ("tag", pa.string())])
+    """feed, file_no, paths, kinds, sketches, tags: the profile of the documents of a file that a batch holds, so a file may have several rows."""
+    shape = "feed string, file_no int, paths array<string>, kinds array<int>, sketches array<binary>, tags array<string>"
+    schema = pa.schema([("feed", pa.string()), ("file_no", pa.int32()), ("paths", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32())), ("sketches", pa.list_(pa.binary())), ("tags", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple, set[int]] = {}
+            files: dict[tuple[str, int], list[dict]] = {}
             for f, n, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if (document := parse(body)) is None:
-                    continue
-                seen.setdefault((f, n, None, None, None), set())
-                for path, kind, value in members(document):
-                    tag = json.dumps(value, sort_keys=True) if path == TAG else None
-                    sketch = seen.setdefault((f, n, path, kind, tag), set())
-                    if not isinstance(value, (dict, list)):
-                        sketch.add(xxhash.xxh32_intdigest(json.dumps(value)) >> 1)
-                        if len(sketch) > 8 * SKETCH:
-                            seen[f, n, path, kind, tag] = set(sorted(sketch)[:SKETCH])
-            if seen:
-                columns = [*zip(*seen)]
-                columns.insert(4, [sorted(s)[:SKETCH] for s in seen.values()])
+                if (document := parse(body)) is not None:
+                    files.setdefault((f, n), []).append(document)
+            if files:
+                fields = [_profile(documents) for documents in files.values()]
+                columns = [
+                    [f for f, _ in files], [n for _, n in files], [list(x) for x in fields], [[k for k, _ in x.values()] for x in fields], [[s for _, s in x.values()] for x in fields],
+                    [sorted({json.dumps(d[TAG], sort_keys=True) for d in documents if d.get(TAG) is not None}) for documents in files.values()],
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    rows = df.filter(F.col(feed).isNotNull() & F.col(file_no).isNotNull()).select(F.col(feed).cast("string"), F.col(file_no).cast("int"), payload).mapInArrow(run, shape)
-    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH)
-    rows = rows.repartition("feed", "file_no", "path")  # batches are reduced already; both groupings below need no other shuffle
-    once = rows.groupBy("feed", "file_no", "path", "kind", "tag").agg(least.alias("sketch"))
-    return once.groupBy("feed", "file_no", "path").agg(
-        F.array_sort(F.collect_set("kind")).alias("kinds"), least.alias("sketch"), F.array_sort(F.collect_set("tag")).alias("tags")
-    )
+    rows = df.filter(F.col(feed).isNotNull() & F.col(file_no).isNotNull()).select(F.col(feed).cast("string"), F.col(file_no).cast("int"), payload)
+    return rows.mapInArrow(run, shape)
+
+
+class File:
+    """The profile of a whole file: path -> JSON types and sketches of its parts."""
+
+    def __init__(self, feed: str, file_no: int):
+        self.feed, self.file_no, self.tags, self.fields = feed, file_no, set(), {}
+
+    def add(self, paths: list[str], kinds: list[int], sketches: list[bytes], tags: list[str]) -> None:
+        self.tags.update(tags)
+        for path, kind, sketch in zip(paths, kinds, sketches):
+            field = self.fields.get(path)
+            if field is None:
+                self.fields[path] = [kind, [sketch]]
+            else:
+                field[0] |= kind
+                field[1].append(sketch)
+                if len(field[1]) > 4 * SKETCH:
+                    field[1] = [np.array(least(field[1]), dtype="<u4").tobytes()]
+
+
+def least(sketches: list[bytes]) -> list[int]:
+    """The sketch of all values of the parts."""
+    return np.unique(np.frombuffer(b"".join(sketches), dtype="<u4"))[:SKETCH].tolist()
 
 
 def parent(path: str) -> str:
@@ -110,14 +161,15 @@ def _bigrams(name: str) -> set[str]:
     return {name[i : i + 2] for i in range(len(name) - 1)}
 
 
-def likeness(went: tuple[str, list, list], came: tuple[str, list, list]) -> float:
-    """How well one field may be another's successor: 0 for another type, else by name and values."""
+def likeness(went: tuple[str, int, list], came: tuple[str, int, list]) -> float:
+    """How well one field (path, types, sketches) may be another's successor: 0 for another type, else by name and values."""
     (a, ka, sa), (b, kb, sb) = went, came
     if ka != kb:
         return 0.0
     x, y = _bigrams(a.rpartition(".")[2]), _bigrams(b.rpartition(".")[2])
-    least = sorted({*sa, *sb})[:SKETCH]
-    shared = sum(h in sa and h in sb for h in least) / len(least) if least else 0.0
+    p, q = least(sa), least(sb)
+    both = sorted({*p, *q})[:SKETCH]
+    shared = sum(h in p and h in q for h in both) / len(both) if both else 0.0
     return 1.0 + len(x & y) / len(x | y) + shared
 
 
@@ -126,15 +178,15 @@ def assignment(score: np.ndarray) -> list[tuple[int, int]]:
     return [(i, j) for i, j in best_assignment(score) if score[i, j] > 0]
 
 
-def likely(went: tuple[str, list, list], came: tuple[str, list, list]) -> float:
+def likely(went: tuple[str, int, list], came: tuple[str, int, list]) -> float:
     """``likeness`` without sketches of few values."""
-    told = min(len(went[2]), len(came[2])) >= FEW
+    told = min(len(least(went[2])), len(least(came[2]))) >= FEW
     return likeness(*((path, kinds, sketch if told else []) for path, kinds, sketch in (went, came)))
 
 
-def compare(before: dict[str, tuple[list, list]], now: dict[str, tuple[list, list]], proposals: bool = False) -> list[tuple[str, str, str]]:
-    """kind, path and old path of each change; both sides: path -> kinds, sketch. With ``proposals`` also, as ``proposed``, the likely pairs of
-    the matching where several fields went or came; they stay removed and added."""
+def compare(before: dict[str, list], now: dict[str, list], proposals: bool = False) -> list[tuple[str, str, str, float | None]]:
+    """kind, path, old path and, of renames, score of each change; both sides: path -> types, sketches. With ``proposals`` also, as ``proposed``, the likely
+    pairs of the matching where several fields went or came; they stay removed and added."""
     went, came = sorted(before.keys() - now.keys()), sorted(now.keys() - before.keys())
     retyped = sorted(p for p in now.keys() & before.keys() if now[p][0] != before[p][0])
     changed = {*went, *came, *retyped}
@@ -148,47 +200,53 @@ def compare(before: dict[str, tuple[list, list]], now: dict[str, tuple[list, lis
         return False
 
     went, came = [p for p in went if not below(p)], [p for p in came if not below(p)]
-    out = [("retyped", p, "") for p in retyped if not below(p)]
+    out: list[tuple] = [("retyped", p, "", None) for p in retyped if not below(p)]
     renamed: dict[str, str] = {}
+    scores: dict[str, float] = {}
     for under in sorted({parent(p) for p in went} & {parent(p) for p in came}):
         a, b = [p for p in went if parent(p) == under], [p for p in came if parent(p) == under]
         alone = len(a) == 1 and len(b) == 1
         score = np.array([[(likeness if alone else likely)((x, *before[x]), (y, *now[y])) for y in b] for x in a])
         for i, j in assignment(score):
             if alone:
-                renamed[b[j]] = a[i]
+                renamed[b[j]], scores[b[j]] = a[i], float(score[i, j])
             elif proposals and score[i, j] >= LIKELY:
-                out.append(("proposed", b[j], a[i]))
-    out += [("renamed", new, old) for new, old in renamed.items()]
-    out += [("removed", p, "") for p in went if p not in renamed.values()]
-    return out + [("added", p, "") for p in came if p not in renamed]
+                out.append(("proposed", b[j], a[i], float(score[i, j])))
+    out += [("renamed", new, old, scores[new]) for new, old in renamed.items()]
+    gone = set(renamed.values())
+    out += [("removed", p, "", None) for p in went if p not in gone]
+    return out + [("added", p, "", None) for p in came if p not in renamed]
 
 
 def changes(profiles: DataFrame, proposals: bool = False) -> DataFrame:
-    """feed, file_no, drift_kind, field_path, old_path of every change from a feed's file to its next; ``proposals`` as in ``compare``.
+    """feed, file_no, drift_kind, field_path, old_path, score of every change from a feed's file to its next; ``proposals`` as in ``compare``.
 
-    A file's profile, one row here, is as large as its schema, whatever the number of its documents.
+    What meets by feed are profiles, as large as schemas whatever the number of documents, at most one for each file and batch.
     """
-    one = F.struct("path", "kinds", "sketch")
-    files = profiles.groupBy("feed", "file_no").agg(
-        F.collect_list(F.when(F.col("path").isNotNull(), one)).alias("fields"), F.flatten(F.collect_list(F.when(F.col("path") == TAG, F.col("tags")))).alias("tags")
-    )
-    order = Window.partitionBy("feed").orderBy("file_no")
-    pairs = files.select("feed", "file_no", "fields", "tags", F.lag("fields").over(order).alias("fields0"), F.lag("tags").over(order).alias("tags0")).filter("fields0 is not null")
-    schema = pa.schema([("feed", pa.string()), ("file_no", pa.int32()), ("drift_kind", pa.string()), ("field_path", pa.string()), ("old_path", pa.string())])
+    schema = pa.schema([("feed", pa.string()), ("file_no", pa.int32()), ("drift_kind", pa.string()), ("field_path", pa.string()), ("old_path", pa.string()), ("score", pa.float64())])
+
+    def between(last: File | None, file: File | None) -> list[tuple]:
+        if last is None or file is None or last.feed != file.feed:
+            return []
+        out = [(file.feed, file.file_no, *c) for c in compare(last.fields, file.fields, proposals)]
+        return out + [(file.feed, file.file_no, "retagged", TAG, "", None)] if last.tags != file.tags else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = file = None
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                sides = [{x["path"]: (x["kinds"], x["sketch"]) for x in r[c]} for c in ("fields0", "fields")]
-                out += [(r["feed"], r["file_no"], *c) for c in compare(*sides, proposals)]
-                if set(r["tags"]) != set(r["tags0"]):
-                    out.append((r["feed"], r["file_no"], "retagged", TAG, ""))
+            for feed, file_no, *part in zip(*(c.to_pylist() for c in batch.columns)):
+                if file is None or (feed, file_no) != (file.feed, file.file_no):
+                    out += between(last, file)
+                    last, file = file, File(feed, file_no)
+                file.add(*part)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        if out := between(last, file):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    return pairs.mapInArrow(run, "feed string, file_no int, drift_kind string, field_path string, old_path string")
+    files = profiles.repartition("feed").sortWithinPartitions("feed", "file_no")
+    return files.mapInArrow(run, "feed string, file_no int, drift_kind string, field_path string, old_path string, score double")
 
 
 def unified_names(drift: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -198,7 +256,7 @@ def unified_names(drift: DataFrame, profiles: DataFrame) -> DataFrame:
     Renames are followed inside a feed, file by file; what is handled at once is a feed's renames and paths, not its rows.
     """
     renames = drift.filter("drift_kind in ('renamed', 'proposed')").groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("file_no", "old_path", "field_path"))).alias("steps"))
-    fields = profiles.filter("path is not null").select("feed", "file_no", "path").join(renames, "feed", "left")
+    fields = profiles.select("feed", "file_no", F.explode("paths").alias("path")).distinct().join(renames, "feed", "left")
 
     def moved(path, step):
         old, new = step["old_path"], step["field_path"]

@@ -145,7 +145,15 @@ union all select pr.feed_id, pr.file_no, 'retagged', 'schema', '' from pr left j
 
 @query("p5_found", _DRIFT)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.changes(drift.profile(_lines(spark, sf_dir), "feed_id", "file_no", "payload")).withColumnRenamed("feed", "feed_id")
+    found = drift.changes(drift.profile(_lines(spark, sf_dir), "feed_id", "file_no", "payload"))
+    return found.select(F.col("feed").alias("feed_id"), "file_no", "drift_kind", "field_path", "old_path")
+
+
+@query("p5_proposals")
+def p5_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The renames that the matching proposes, with their scores: those of p5_found, and the likely pairs where several fields went or came. They unify the names."""
+    found = drift.changes(drift.profile(_lines(spark, sf_dir), "feed_id", "file_no", "payload"), proposals=True).filter("drift_kind in ('renamed', 'proposed')")
+    return found.select(F.col("feed").alias("feed_id"), "file_no", "old_path", F.col("field_path").alias("new_path"), F.round("score", 6).alias("score"), (F.col("drift_kind") == "renamed").alias("certain"))
 
 
 @query("p5_names")
