@@ -199,4 +199,4 @@ def test_deep_documents(spark):
     deep = "[" * 900 + "{\"x\": 1}" + "]" * 900
     df = spark.createDataFrame([("f", 1, f'{{"a": {deep}}}'), ("f", 2, '{"a": [[{"x": 1}]], "b": {"c": {"d": [1, {"e": 2}]}}}')], "feed string, file_no int, payload string")
     got = {tuple(r)[2:5] for r in drift.changes(drift.profile(df, "feed", "file_no", "payload")).collect()}
-    assert got == {("removed", "a" + "[]" * 901 + ".x", ""), ("added", "a[][].x", ""), ("added", "b", "")}
+    assert got == {("removed", "a" + "[]" * 900 + ".x", ""), ("added", "a[][].x", ""), ("added", "b", "")}
