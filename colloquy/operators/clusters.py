@@ -39,7 +39,7 @@ def centroids(df: DataFrame, label: str, v: str) -> DataFrame:
 
 
 def silhouettes(df: DataFrame, key: str, label: str, v: str) -> DataFrame:
-    """key, label, silhouette under cosine distance, 0 distance within a cluster of one.
+    """key, label, silhouette under cosine distance, 0 distance within a cluster of one; -1 where there is no other cluster.
 
     The mean distance of a vector to a cluster is 1 less its dot product with the cluster's mean, so vectors are held against cluster
     sums, not against one another; the sums, one row per cluster, are attached to each vector as one array.
@@ -55,7 +55,7 @@ def silhouettes(df: DataFrame, key: str, label: str, v: str) -> DataFrame:
     x = x.withColumn("m", mean)
     a = F.element_at(F.filter("m", lambda s: s["c"] == F.col(label)), 1)["d"]
     b = F.array_min(F.transform(F.filter("m", lambda s: s["c"] != F.col(label)), lambda s: s["d"]))
-    return x.select(key, label, ((b - a) / F.greatest(a, b)).alias("silhouette"))
+    return x.select(key, label, F.when(b.isNull(), -1.0).otherwise((b - a) / F.greatest(a, b)).alias("silhouette"))
 
 
 def absorb(df: DataFrame, key: str, label: str, v: str, least: float, size: Column | None = None) -> DataFrame:
@@ -223,23 +223,26 @@ def forward_backward(log_emission: np.ndarray, log_transition: np.ndarray, log_i
     return np.exp(f + b - like), like
 
 
-def hmm_refine(x: np.ndarray, labels: np.ndarray, loop: float = 0.9, sharp: float = 5.0, precision: float = 0.3, steps: int = 20, least: float = 1e-4) -> np.ndarray | None:
+def hmm_refine(x: np.ndarray, labels: np.ndarray, loop: float = 0.9, sharp: float = 5.0, data: float = 0.3, prior: float = 1.0, phi: np.ndarray | None = None, steps: int = 20, least: float = 1e-4) -> np.ndarray | None:
     """Variational refinement of labels: speakers as latent means under a unit prior, a Markov chain over them that stays with probability
-    ``loop``; begins from a softmax of ``sharp`` times the labels. None where fewer than two speakers are left."""
+    ``loop``; begins from a softmax of ``sharp`` times the labels. None where fewer than two speakers are left. ``data`` and ``prior`` scale what the vectors and
+    the prior count for; ``phi``: the variance between speakers along each dimension, of vectors whose variance within a speaker is one (1 unless given)."""
+    phi = np.ones(x.shape[1]) if phi is None else np.asarray(phi, dtype=float)
+    scaled, ratio = x * np.sqrt(phi), data / prior
     k = int(labels.max()) + 1
     start = np.exp(sharp * np.eye(k)[labels])
     g = start / start.sum(axis=1, keepdims=True)
     pi, before = np.full(k, 1.0 / k), -np.inf
     for _ in range(steps):
         n = g.sum(axis=0)
-        var = 1.0 / (1.0 + precision * n)
-        mean = precision * var[:, None] * (g.T @ x)
-        em = precision * (x @ mean.T - 0.5 * ((mean**2).sum(axis=1) + x.shape[1] * var))
+        var = 1.0 / (1.0 + ratio * n[:, None] * phi)  # of each speaker along each dimension
+        mean = ratio * var * (g.T @ scaled)
+        em = data * (scaled @ mean.T - 0.5 * ((mean**2 + var) @ phi))
         tr = np.log(loop * np.eye(k) + (1 - loop) * pi[None, :] + 1e-8)
         g, like = forward_backward(em, tr, np.log(pi + 1e-8))
         pi = np.maximum(g[0] + (1 - loop) * g.sum(axis=0), 1e-8)
         pi /= pi.sum()
-        bound = like + 0.5 * (x.shape[1] * (np.log(var) - var + 1).sum() - (mean**2).sum())
+        bound = like + prior * 0.5 * (np.log(var) - var - mean**2 + 1).sum()
         if bound - before < least:
             break
         before = bound

@@ -103,8 +103,17 @@ def nearest_rank(df: DataFrame, key: str, value: str, percents: list[int], bucke
     return ranked.groupBy(key).agg(F.first("n").alias("n"), F.first("top").alias("top"), *hit)
 
 
-def budgeted_preorder(df: DataFrame, key: str, order: str, text: str, nodes: int, chars: int) -> DataFrame:
-    """key, order, taken: the first ``nodes`` nodes of a tree in pre-order, each with the characters that the budget has left for it."""
+def state_histogram(df: DataFrame, source: str, state: str, late: str, going_on: list[str]) -> DataFrame:
+    """key (``source.state`` in lower case), n, n_terminal (samples whose state is not one of ``going_on``), n_late (terminal ones that came late)."""
+    ended = ~F.col(state).isin(going_on)
+    return df.groupBy(F.lower(F.concat_ws(".", source, state)).alias("key")).agg(F.count("*").alias("n"), F.count(F.when(ended, 1)).alias("n_terminal"), F.count(F.when(ended & F.col(late), 1)).alias("n_late"))
+
+
+def budgeted_preorder(df: DataFrame, key: str, order: str, text: str, nodes: int, chars: int, depth: str | None = None, deepest: int | None = None) -> DataFrame:
+    """key, order, taken: the first ``nodes`` nodes of a tree in pre-order, each with the characters that the budget has left for it. Nodes below
+    ``deepest`` (``depth``: how deep each lies) are not visited and take nothing."""
+    if depth is not None:
+        df = df.filter(F.col(depth) <= deepest)
     w = Window.partitionBy(key).orderBy(order)
     n = F.char_length(F.coalesce(F.col(text), F.lit("")))
     before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

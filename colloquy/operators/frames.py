@@ -14,8 +14,8 @@ def runs(df: DataFrame, track: list[str], frame: str) -> DataFrame:
     return n.groupBy(*track, "__k").agg(F.min(frame).alias("from"), (F.max(frame) + 1).alias("to")).drop("__k")
 
 
-def fill_gaps(r: DataFrame, track: list[str], most: int) -> DataFrame:
-    """Runs joined over gaps of up to ``most`` frames; what lies before the first and after the last run is no gap."""
+def fill_gaps(r: DataFrame, track: list[str], most: int | Column) -> DataFrame:
+    """Runs joined over gaps of up to ``most`` frames (a number, or what each track has); what lies before the first and after the last run is no gap."""
     w = Window.partitionBy(*track).orderBy("from")
     fresh = F.coalesce((F.col("from") - F.lag("to").over(w) > most).cast("int"), F.lit(1))
     g = r.withColumn("__f", fresh).withColumn("__k", F.sum("__f").over(w.rowsBetween(Window.unboundedPreceding, 0)))

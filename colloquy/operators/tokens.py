@@ -22,6 +22,12 @@ def known(how: Callable[[Column], Column], c: Column) -> Column:
     return F.when(F.count("*") == F.count(F.when(ok, 1)), how(c))
 
 
+def output_language(forced: Column, chunks: Column) -> Column:
+    """The forced language, else the first of the chunks' (an array in order) that is known, else ``unknown``."""
+    known = F.filter(chunks, lambda c: c.isNotNull() & (c != "") & (c != "unknown"))
+    return F.coalesce(forced, F.try_element_at(known, F.lit(1)), F.lit("unknown"))
+
+
 def logit_scores(z: Column) -> tuple[Column, Column, Column]:
     """Log-probability of the greatest logit, entropy of the distribution, and the margin of the greatest over the second."""
     most = F.array_max(z)

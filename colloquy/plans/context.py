@@ -86,6 +86,18 @@ def r22_preorder_budget(spark, sf_dir):
     return cx.budgeted_preorder(segments(spark, sf_dir), "transcript_id", "pos", "text", 12, 500)
 
 
+@query("r22_depth_budget", f"""with {SEG}, nodes as (select transcript_id, pos * 1000 + 0 ord, 1 depth, len(coalesce(txt, '')) n from segs union all select transcript_id, pos * 1000 + k, 2, 5 from (select transcript_id, pos, unnest(range(1, least(coalesce(n_words, 0), 900) + 1)) k from segs)
+  union all select transcript_id, pos * 1000 + 999, 3, 7 from segs), c as (select *, row_number() over w k, coalesce(sum(n) over (partition by transcript_id order by ord rows between unbounded preceding and 1 preceding), 0) b from nodes where depth <= 2 window w as (partition by transcript_id order by ord))
+select transcript_id, ord, least(n, greatest(400 - b, 0)) taken from c where k <= 40""")
+def r22_depth_budget(spark, sf_dir):
+    """The same over a tree with words below segments and one more level below, which is too deep to be visited."""
+    s = segments(spark, sf_dir).select("transcript_id", "pos", "text", F.least(F.greatest(F.coalesce("n_words", F.lit(0)), F.lit(0)), F.lit(900)).alias("k"))
+    node = lambda at, depth, text: F.struct(at.cast("long").alias("ord"), F.lit(depth).alias("depth"), text.alias("text"))
+    words = F.transform(F.filter(F.sequence(F.lit(0), F.col("k")), lambda i: i > 0), lambda i: node(F.col("pos") * 1000 + i, 2, F.lit("words")))
+    tree = F.concat(F.array(node(F.col("pos") * 1000, 1, F.col("text"))), words, F.array(node(F.col("pos") * 1000 + 999, 3, F.lit("toodeep"))))
+    return cx.budgeted_preorder(s.select("transcript_id", F.inline(tree)), "transcript_id", "ord", "text", 40, 400, "depth", 2)
+
+
 @query("r23_reading_order")
 def r23_reading_order(spark, sf_dir):
     b = blocks(spark, sf_dir).filter("x is not null")
@@ -111,6 +123,15 @@ def a18_readiness(spark, sf_dir):
     return cx.nearest_rank(o, "source", "ms", [50, 95], 10_000.0)
 
 
+@query("a18_states", """with o as (select lower(o_orderpriority) source, case o_orderstatus when 'F' then 'succeeded' when 'P' then 'timedout' else 'running' end state, o_orderdate > timestamp '1998-01-01' late from orders)
+select source || '.' || state key, count(*) n, count(*) filter (state <> 'running') n_terminal, count(*) filter (late and state <> 'running') n_late from o group by all""")
+def a18_states(spark, sf_dir):
+    """The histogram of the readiness report: how many samples of each source are in each state, how many of them ended, and how many of those late."""
+    state = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "P", "timedout").otherwise("running")
+    o = table(spark, sf_dir, "orders").select(F.lower("o_orderpriority").alias("source"), state.alias("state"), (F.col("o_orderdate") > F.lit("1998-01-01").cast("timestamp_ntz")).alias("late"))
+    return cx.state_histogram(o, "source", "state", "late", ["running"])
+
+
 @query("a19_percentiles", "select event_type, count(*) n, max(value) top, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.9) p90, quantile_disc(value, 0.99) p99 from events group by all")
 def a19_percentiles(spark, sf_dir):
     return cx.nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", [50, 90, 99], 5.0)

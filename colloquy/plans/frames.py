@@ -153,48 +153,27 @@ def f37_pcm_scale(spark, sf_dir):
     return first_delivery(t, "request_id", "ingested_at", ["scale"]).filter("scale is not null").drop("ingested_at")
 
 
-_WINDOWS = """with s as (select rec_id, round(duration_seconds * {rate})::bigint n from (select * from recordings where rec_id is not null qualify row_number() over (partition by rec_id order by ingested_at nulls last) = 1) where duration_seconds > 0 and duration_seconds < 86400),
+_WINDOWS = """with s as (select rec_id, round(duration_seconds * {rate})::bigint n from (select * from recordings where rec_id is not null qualify row_number() over (partition by rec_id order by ingested_at nulls last) = 1) where duration_seconds > 0 and isfinite(duration_seconds)),
 r as (select rec_id, n, unnest(range(0, greatest(n - {size}, 0) + 1, {hop})) w from s) select rec_id, w start from r
 union select rec_id, n - {size} from (select rec_id, n, max(w) w from r group by all) where n > {size} and w + {size} < n"""
 
 
 def _durations(spark, sf_dir, rate):
-    r = first_delivery(table(spark, sf_dir, "recordings").filter("rec_id is not null"), "rec_id", "ingested_at", ["duration_seconds"]).filter("duration_seconds > 0 and duration_seconds < 86400")
+    """Durations in a wrong unit are taken as they stand."""
+    r = first_delivery(table(spark, sf_dir, "recordings").filter("rec_id is not null"), "rec_id", "ingested_at", ["duration_seconds"]).filter("duration_seconds > 0 and duration_seconds < double('infinity')")
     return r.select("rec_id", F.round(F.col("duration_seconds") * rate).cast("long").alias("n"))
 
 
 @query("m11_windows", _WINDOWS.format(rate=10, size=160, hop=80))
 def m11_windows(spark, sf_dir):
-    """Windows of 16 s every 8 s, at 10 samples a second; recordings under a day, as the SQL has it (all: m11_every_window)."""
-    return _durations(spark, sf_dir, 10).select("rec_id", F.explode(fr.window_starts(F.col("n"), 160, 80)).alias("start"))
+    """Windows of 16 s every 8 s, at 10 samples a second, the last flush with the end."""
+    return fr.window_rows(_durations(spark, sf_dir, 10), "n", 160, 80, flush=True)
 
 
 @query("m10_windows", _WINDOWS.format(rate=100, size=150, hop=75).split("union")[0])
 def m10_windows(spark, sf_dir):
-    """Windows of 1.5 s every 0.75 s, without the flush one; recordings under a day, as the SQL has it (all: m10_every_window)."""
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 150, F.lit(0)).cast("long"), F.lit(75).cast("long"))
-    return _durations(spark, sf_dir, 100).select("rec_id", F.explode(starts).alias("start"))
-
-
-_EVERY_WINDOW = _WINDOWS.replace("duration_seconds > 0 and duration_seconds < 86400", "duration_seconds > 0 and isfinite(duration_seconds)")
-
-
-def _all_durations(spark, sf_dir, rate):
-    """As _durations, with the recordings of a day or more, whose durations may be in a wrong unit: they are taken as they stand."""
-    r = first_delivery(table(spark, sf_dir, "recordings").filter("rec_id is not null"), "rec_id", "ingested_at", ["duration_seconds"]).filter("duration_seconds > 0 and duration_seconds < double('infinity')")
-    return r.select("rec_id", F.round(F.col("duration_seconds") * rate).cast("long").alias("n"))
-
-
-@query("m11_every_window", _EVERY_WINDOW.format(rate=10, size=160, hop=80))
-def m11_every_window(spark, sf_dir):
-    """The windows of m11_windows, of recordings of any length."""
-    return fr.window_rows(_all_durations(spark, sf_dir, 10), "n", 160, 80, flush=True)
-
-
-@query("m10_every_window", _EVERY_WINDOW.format(rate=100, size=150, hop=75).split("union")[0])
-def m10_every_window(spark, sf_dir):
-    """The windows of m10_windows, of recordings of any length."""
-    return fr.window_rows(_all_durations(spark, sf_dir, 100), "n", 150, 75, flush=False)
+    """Windows of 1.5 s every 0.75 s, without the flush one."""
+    return fr.window_rows(_durations(spark, sf_dir, 100), "n", 150, 75, flush=False)
 
 
 @query("r26_weights", "select 0::int i, 0e0 w where false union all select i::int, 0.1e0 + 0.9e0 * (1 - abs(i - 7.5e0) / 8.5e0) from range(16) t(i)")

@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.functions import hashes
 from colloquy.functions import vectors as vx
-from colloquy.operators import chunks, clusters
+from colloquy.operators import chunks, clusters, ranking
 from colloquy.operators import frames as fr
 from colloquy.operators.delivery import first_delivery
 from colloquy.plans.frames import pred03_energy_vad
@@ -29,16 +30,16 @@ def m13_speech_ranges(spark, sf_dir):
     return chunks.speech_ranges(timeline(spark, sf_dir), 100)
 
 
-@query("k04_beam", """with recursive lg as (select l_orderkey, l_linenumber - 1 step, l_suppkey token, max(-(l_quantity::bigint % 10) - 1)::double lp from lineitem where l_linenumber <= 3 group by all),
+@query("k04_beam", """with recursive lg as (select l_orderkey, l_linenumber - 1 step, l_suppkey token, max(-(l_quantity::bigint % 10) - 1)::double lp from lineitem group by all),
 c as (select *, row_number() over (partition by l_orderkey, step order by lp desc, token) k from lg), n as (select distinct l_orderkey from lg), b as (select l_orderkey, 0 step, []::bigint[] ids, 0e0 total from n
 union all select l_orderkey, step + 1, ids, total from (select *, row_number() over (partition by l_orderkey order by total desc, ids) r from (
-  select b.l_orderkey, b.step, list_concat(b.ids, case when c.token is null then []::bigint[] else [c.token] end) ids, b.total + coalesce(c.lp, 0) total from b left join c on c.l_orderkey = b.l_orderkey and c.step = b.step and c.k <= 4 where b.step < 3)) where r <= 2)
-select l_orderkey, (row_number() over (partition by l_orderkey order by total desc, ids) - 1)::int rank, ids, total from b where step = 3""")
+  select b.l_orderkey, b.step, list_concat(b.ids, case when c.token is null then []::bigint[] else [c.token] end) ids, b.total + coalesce(c.lp, 0) total from b left join c on c.l_orderkey = b.l_orderkey and c.step = b.step and c.k <= 4 where b.step < 7)) where r <= 2)
+select l_orderkey, (row_number() over (partition by l_orderkey order by total desc, ids) - 1)::int rank, ids, total from b where step = 7""")
 def k04_beam(spark, sf_dir):
-    """The two best sequences over three steps; line items stand for choices."""
-    l = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    """The two best sequences over all steps, seven at most; line items stand for choices."""
+    l = table(spark, sf_dir, "lineitem")
     lg = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("step"), F.col("l_suppkey").alias("token"), (-(F.col("l_quantity").cast("long") % 10) - 1).cast("double").alias("logprob"))
-    return chunks.beam(lg, "l_orderkey", 2, 3)
+    return chunks.beam(lg, "l_orderkey", 2, 7)
 
 
 @query("m05_absorbed_by_duration")
@@ -48,12 +49,24 @@ def m05_absorbed_by_duration(spark, sf_dir):
     return clusters.absorb(e, "vec_id", "label", "embedding", 15.0, F.sum("sec"))
 
 
-@query("m16_variants", "select a.v onset, b.v gap, count(*) n from (values (0.1e0), (0.3e0), (0.5e0)) a(v), (values (1), (3)) b(v), (select distinct user_id, epoch_us(ts) // 3600000000 from events where value >= 0) e group by all")
+# of the survey: a cell of the grid is the pipeline run with its parameters; here threshold, gap filling and runs over frames of an hour
+_GRID = """with fr as (select user_id, epoch_us(ts) // 3600000000 f, max(value) v from events where user_id is not null group by all),
+g as (select a.v onset, b.v gap from (values (10e0), (50e0), (100e0)) a(v), (values (1), (6)) b(v)),
+act as (select onset, gap, user_id, f, coalesce((f - lag(f) over w > gap + 1)::int, 1) fresh from fr, g where v >= onset window w as (partition by onset, gap, user_id order by f)),
+run as (select *, sum(fresh) over (partition by onset, gap, user_id order by f rows unbounded preceding) k from act)
+select onset, gap, count(*) n_turns, sum(len)::bigint n_frames, max(len) longest from (select onset, gap, max(f) - min(f) + 1 len from run group by onset, gap, user_id, k) group by all"""
+
+
+@query("m16_variants", _GRID)
 def m16_variants(spark, sf_dir):
-    """A grid of parameters over one table of frames: the grid is a constant, exploded beside each row."""
-    grid = F.array(*[F.struct(F.lit(o).alias("onset"), F.lit(g).alias("gap")) for o in (0.1, 0.3, 0.5) for g in (1, 3)])
-    e = table(spark, sf_dir, "events").filter("value >= 0").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("f")).distinct()
-    return e.select(F.explode(grid).alias("g")).groupBy(F.col("g.onset").alias("onset"), F.col("g.gap").alias("gap")).agg(F.count("*").alias("n"))
+    """A grid of parameters over one table of frames: each frame is set beside the parameters whose threshold it meets, and gaps are filled as each cell has it."""
+    e = table(spark, sf_dir, "events").filter("user_id is not null").groupBy("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("f")).agg(F.max("value").alias("v"))
+    grid = F.array(*[F.struct(F.lit(o).alias("onset"), F.lit(g).alias("gap")) for o in (10.0, 50.0, 100.0) for g in (1, 6)])
+    on = e.select("user_id", "f", F.explode(F.filter(grid, lambda g: F.col("v") >= g["onset"])).alias("g")).select("user_id", "f", "g.onset", "g.gap")
+    track = ["onset", "gap", "user_id"]
+    turns = fr.fill_gaps(fr.runs(on, track, "f"), track, F.col("gap"))
+    length = F.col("to") - F.col("from")
+    return turns.groupBy("onset", "gap").agg(F.count("*").alias("n_turns"), F.sum(length).alias("n_frames"), F.max(length).alias("longest"))
 
 
 @query("f22_hard_labels")
@@ -116,19 +129,11 @@ def pred05_denied_domains(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", host.alias("host")).filter(~F.arrays_overlap(suffixes, F.array(*map(F.lit, denied))))
 
 
-@query("j15_files_by_stem", "select r.rec_id, count(a.request_id) n from (select distinct rec_id, regexp_replace(regexp_extract(media_path, '[^/]*$'), '\\.[^.]*$', '') stem from recordings where media_path is not null) r left join asr_requests a on a.rec_id = r.stem group by all")
-def j15_files_by_stem(spark, sf_dir):
-    stem = F.regexp_replace(F.regexp_extract("media_path", "[^/]*$", 0), r"\.[^.]*$", "")
-    r = table(spark, sf_dir, "recordings").filter("media_path is not null").select("rec_id", stem.alias("stem")).distinct()
-    a = table(spark, sf_dir, "asr_requests").groupBy(F.col("rec_id").alias("stem")).agg(F.count("request_id").alias("n"))
-    return r.join(a, "stem", "left").groupBy("rec_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-
-
-@query("j15_files_by_priority", """with r as (select distinct rec_id, regexp_replace(regexp_extract(media_path, '[^/]*$'), '\\.[^.]*$', '') stem from recordings where media_path is not null and rec_id is not null),
+@query("j15_files_by_stem", """with r as (select distinct rec_id, regexp_replace(regexp_extract(media_path, '[^/]*$'), '\\.[^.]*$', '') stem from recordings where media_path is not null and rec_id is not null),
 f as (select distinct rec_id own, (request_id % 2)::int inner_ from asr_requests where rec_id is not null and request_id is not null),
 c as (select r.rec_id, stem, own || case when inner_ = 1 then '/diarization.json' else '.json' end file, case when own = stem then 0 else 2 end + inner_ priority from r join f on starts_with(own, stem) where stem <> '')
 select rec_id, stem, file, priority from c qualify row_number() over (partition by rec_id, stem order by priority, file) = 1""")
-def j15_files_by_priority(spark, sf_dir):
+def j15_files_by_stem(spark, sf_dir):
     """The file of each recording's stem: stem.json, else stem/diarization.json, else stem*.json, else stem*/diarization.json, of several the
     first by name. Requests stand for files, those of odd number for folders. A file is met under each of its prefixes, by equality."""
     stem = F.regexp_replace(F.regexp_extract("media_path", "[^/]*$", 0), r"\.[^.]*$", "")
@@ -192,3 +197,46 @@ def s14_markdown(spark, sf_dir):
     t = timeline(spark, sf_dir).withColumn("line", F.concat(F.lit("- "), speaker_line(F.col("speaker"), F.col("start"))))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "idx", "line"))), lambda x: x["line"])
     return t.groupBy("rec_id").agg(F.md5(F.concat(F.lit("# Timeline\n\n"), F.array_join(lines, "\n"))).alias("digest"))
+
+
+_CAND = "c as (select p_brand engine, p_type path, p_partkey seen, p_size >= 25 ready, p_size % 3 = 0 shared, p_retailprice > 1200 env from part)"
+
+
+def _candidates(spark, sf_dir):
+    ready, shared, env = F.col("p_size") >= 25, F.col("p_size") % 3 == 0, F.col("p_retailprice") > 1200
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("engine"), F.col("p_type").alias("path"), F.col("p_partkey").alias("seen"), ready.alias("ready"), shared.alias("shared"), env.alias("env"))
+
+
+@query("k05_ranked", f"""with {_CAND}, one as (select * from c qualify row_number() over (partition by engine, path order by seen) = 1), s as (select *, 10 * ready::int + 5 * shared::int + 8 * env::int score from one)
+select engine, path, score, row_number() over (partition by engine order by score desc, path) - 1 place from s""")
+def k05_ranked(spark, sf_dir):
+    """Candidates, those seen first of each path, by what speaks for them; parts stand for them."""
+    score = sum((F.col(c).cast("int") * w for c, w in (("ready", 10), ("shared", 5), ("env", 8))), F.lit(0))
+    return ranking.ranked_candidates(_candidates(spark, sf_dir), ["engine", "path"], "seen", score, "path").select("engine", "path", "score", F.col("place").cast("long").alias("place"))
+
+
+@query("k06_first_ready", f"with {_CAND} select engine, arg_min(path, (case when env then 0 when shared then 1 else 2 end, path)) filter (ready) path from c group by all")
+def k06_first_ready(spark, sf_dir):
+    return ranking.first_ready(_candidates(spark, sf_dir), "engine", "path", F.col("ready"), F.when(F.col("env"), 0).when(F.col("shared"), 1).otherwise(2))
+
+
+@query("k09_queue", "select o_orderkey, row_number() over (partition by o_custkey order by o_orderpriority desc, o_orderdate, o_orderkey) - 1 turn from orders")
+def k09_queue(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return ranking.queue_order(o, "o_custkey", F.col("o_orderpriority"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("turn").cast("long").alias("turn"))
+
+
+@query("j16_aliases", """with e as (select n_name entry, [n_name, n_name[1:3], n_name || '-' || n_nationkey] al from nation), k as (select lower(trim(a)) a, min(entry) entry from (select entry, unnest(al) a from e) group by all)
+select distinct s_name, entry from (select ' ' || case s_suppkey % 3 when 0 then upper(n_name) when 1 then n_name[1:3] else 'none' end s_name from supplier join nation on s_nationkey = n_nationkey) n join k on lower(trim(n.s_name)) = k.a""")
+def j16_aliases(spark, sf_dir):
+    """Names as they are written, in any case, to the entry that they or an alias stand for."""
+    n = table(spark, sf_dir, "nation")
+    e = n.select(F.col("n_name").alias("entry"), F.array(F.substring("n_name", 1, 3), F.concat("n_name", F.lit("-"), "n_nationkey")).alias("aliases"))
+    written = F.when(F.col("s_suppkey") % 3 == 0, F.upper("n_name")).when(F.col("s_suppkey") % 3 == 1, F.substring("n_name", 1, 3)).otherwise("none")
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit(" "), written).alias("s_name"))
+    return ranking.by_alias(s, "s_name", e, "entry", "aliases")
+
+
+@query("f31_hashes")
+def f31_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", hashes.splitmix64(F.col("doc_id")).alias("mixed"), hashes.fnv1a_64(F.col("source")).alias("fnv"))

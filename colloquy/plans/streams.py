@@ -35,15 +35,33 @@ def t02_sessions(spark, sf_dir):
     return ss.sessions(table(spark, sf_dir, "events").withColumnRenamed("user_id", "track"), "1 hour")
 
 
-@query("t01_utterances")
+# An utterance ends before a row that comes more than four hours after its last one, or two once anything was spoken, or more than twelve after its first.
+_UTTERANCES = """with recursive o as (select user_id::varchar track, epoch_us(ts) // 1000 t, value >= 30 sp, row_number() over (partition by user_id order by epoch_us(ts) // 1000, value >= 30) rn from events where user_id is not null and ts is not null),
+r as (select track, rn, t f, t l, 1::bigint n, sp, null::bigint cf, null::bigint cl, null::bigint cn, null::varchar reason from o where rn = 1
+union all select track, rn, case when why is null then f else t end, t, case when why is null then n + 1 else 1 end, case when why is null then sp or own else own end, f, l, n, why from (
+  select o.track, o.rn, r.f, r.l, r.n, r.sp, o.t, o.sp own, case when o.t - r.l > case when r.sp then 7200000 else 14400000 end then 'silence' when o.t - r.f > 43200000 then 'length' end why
+  from r join o on o.track = r.track and o.rn = r.rn + 1))
+select track, cf from_ms, cl to_ms, cn n, reason from r where reason is not null
+union all select track, f, l, n, 'finished' from r qualify row_number() over (partition by track order by rn desc) = 1"""
+_RULES = (4 * 3_600_000, 2 * 3_600_000), 12 * 3_600_000
+
+
+def _tracks(e):
+    return e.filter("user_id is not null and ts is not null").select(F.col("user_id").alias("track"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") >= 30).alias("spoken"))
+
+
+@query("t01_utterances", _UTTERANCES)
 def t01_utterances(spark, sf_dir):
-    """Utterances by silence and greatest length, from the table."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("ts").cast("timestamp").alias("ts"))
-    return ss.utterances_of(e, 2 * 3_600_000, 12 * 3_600_000)
+    """Utterances by silence, without and with words, and greatest length, from the table."""
+    return ss.utterances_of(_tracks(table(spark, sf_dir, "events")), *_RULES, spoken="spoken")
 
 
-@query("t03_stream_utterances")
+@query("t03_stream_utterances", _UTTERANCES)
 def t03_stream_utterances(spark, sf_dir):
-    """The utterances that a stream of the same rows is sure of."""
-    e = _stream(spark, sf_dir).select(F.col("user_id").alias("track"), F.col("ts").cast("timestamp").alias("ts"))
-    return ss.drain(ss.utterances(e, 2 * 3_600_000, 12 * 3_600_000), _folder(spark))
+    """The same from a stream, in which the last row of a track says that it is finished."""
+    folder = _folder(spark)
+    last = _tracks(table(spark, sf_dir, "events")).groupBy("track").agg(F.max("ts").alias("ts"))
+    last.select("track", "ts", F.lit(False).alias("spoken"), F.lit(True).alias("finished")).write.parquet(f"{folder}/finished")
+    marks = spark.readStream.schema("track long, ts timestamp, spoken boolean, finished boolean").parquet(f"{folder}/finished")
+    e = _tracks(_stream(spark, sf_dir)).withColumn("finished", F.lit(False)).unionByName(marks)
+    return ss.drain(ss.utterances(e, *_RULES, spoken="spoken", finished="finished"), folder)

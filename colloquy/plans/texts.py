@@ -9,7 +9,6 @@ from colloquy.functions import text as tx
 from colloquy.operators import tokens as tk
 from colloquy.operators.delivery import first_delivery
 from colloquy.plans.registry import query, table
-from colloquy.sources.timelines import TAG
 
 WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+"
 
@@ -153,15 +152,21 @@ def f14_surface_scores(spark, sf_dir):
     return evidence(spark, sf_dir).groupBy("l_orderkey").agg(F.round(F.sum("lp"), 6).alias("total"), F.round(F.avg("lp"), 6).alias("mean"), F.min("lp").alias("least"))
 
 
-@query("f15_finite", "select turn_id, ingested_at, case when isfinite(start_sec) then start_sec end start_sec from turns")
+def _first(name: str, key: str) -> str:
+    return f"(select * from {name} qualify row_number() over (partition by {key} order by ingested_at nulls last) = 1)"
+
+
+@query("f15_finite", f"select turn_id, case when isfinite(start_sec) then start_sec end start_sec from {_first('turns', 'turn_id')}")
 def f15_finite(spark, sf_dir):
-    return table(spark, sf_dir, "turns").select("turn_id", "ingested_at", tx.finite(F.col("start_sec")).alias("start_sec"))
+    t = first_delivery(table(spark, sf_dir, "turns"), "turn_id", "ingested_at", ["start_sec"])
+    return t.select("turn_id", tx.finite(F.col("start_sec")).alias("start_sec"))
 
 
-@query("a11_known_sum", "select rec_id, case when bool_and(confidence is not null and isfinite(confidence)) then round(sum(confidence), 6) end total, case when bool_and(confidence is not null and isfinite(confidence)) then max(confidence) end top from word_timings group by all")
+@query("a11_known_sum", f"""select rec_id, case when bool_and(confidence is not null and isfinite(confidence)) then round(sum(confidence), 6) end total,
+case when bool_and(confidence is not null and isfinite(confidence)) then max(confidence) end top from {_first('word_timings', 'word_id')} group by all""")
 def a11_known_sum(spark, sf_dir):
     """Sum and greatest confidence of each recording's words, null where any is missing."""
-    w = table(spark, sf_dir, "word_timings")
+    w = first_delivery(table(spark, sf_dir, "word_timings"), "word_id", "ingested_at", ["rec_id", "confidence"])
     return w.groupBy("rec_id").agg(F.round(tk.known(F.sum, F.col("confidence")), 6).alias("total"), tk.known(F.max, F.col("confidence")).alias("top"))
 
 
@@ -179,12 +184,16 @@ def a14_status(spark, sf_dir):
     return evidence(spark, sf_dir).groupBy("l_orderkey").agg(status.alias("status"))
 
 
-@query("a15_language", "select rec_id, coalesce(arg_min(lower(lang), created_at) filter (lang is not null and lower(lang) <> 'unknown'), 'unknown') lang from recordings group by all having count(distinct created_at) = count(*)")
+@query("a15_language", f"""with {SEG}, l as (select transcript_id, (generate_subscripts(segments, 1) - 1) pos, unnest(segments).lang lang from tr),
+c as (select transcript_id, arg_min(lower(trim(lang)), pos) filter (trim(lang) <> '' and lower(trim(lang)) <> 'unknown') lang from l group by all),
+h as (select rec_id, arg_min(lower(trim(language_hint)), request_id) forced from {_first('asr_requests', 'request_id')} where trim(language_hint) <> '' and rec_id is not null group by all)
+select transcript_id, coalesce(forced, c.lang, 'unknown') lang from tr left join c using (transcript_id) left join h using (rec_id)""")
 def a15_language(spark, sf_dir):
-    """The first known language of each recording's rows."""
-    known = F.col("lang").isNotNull() & (F.lower("lang") != "unknown")
-    r = table(spark, sf_dir, "recordings").groupBy("rec_id").agg(F.min_by(F.lower("lang"), F.when(known, F.col("created_at"))).alias("lang"), F.count_distinct("created_at").alias("d"), F.count("*").alias("n"), F.max(known).alias("k"))
-    return r.filter("d = n").select("rec_id", F.when(F.col("k"), F.col("lang")).otherwise("unknown").alias("lang"))
+    """The language of each transcript: the one that the recording's first request forces, else the first known one of its chunks, else unknown."""
+    t = first_delivery(table(spark, sf_dir, "transcripts").withColumn("langs", F.transform("segments", lambda s: F.lower(F.trim(s["lang"])))), "transcript_id", "ingested_at", ["rec_id", "langs"])
+    r = first_delivery(table(spark, sf_dir, "asr_requests"), "request_id", "ingested_at", ["rec_id", "language_hint"]).filter("trim(language_hint) <> '' and rec_id is not null")
+    forced = r.groupBy("rec_id").agg(F.min_by(F.lower(F.trim("language_hint")), "request_id").alias("forced"))
+    return t.join(forced, "rec_id", "left").select("transcript_id", tk.output_language(F.col("forced"), F.col("langs")).alias("lang"))
 
 
 @query("a24_token_overlap", f"""with {SEG}, p as (select transcript_id, pos, txt, lead(txt) over (partition by transcript_id order by pos) nx from segs), w as (select transcript_id, pos, list_distinct(list_filter(string_split(lower({squeeze_sql('txt')}), ' '), lambda x: x <> '')) a,
@@ -292,7 +301,7 @@ def s19_violations(spark, sf_dir):
 
 @query("c01_discriminator", "select transcript_id, ingested_at, coalesce(regexp_matches(schema_tag, '^[a-z]+-transcript[.]v1$'), false) accepted from transcripts")
 def c01_discriminator(spark, sf_dir):
-    return table(spark, sf_dir, "transcripts").select("transcript_id", "ingested_at", F.coalesce(F.col("schema_tag").rlike(TAG), F.lit(False)).alias("accepted"))
+    return table(spark, sf_dir, "transcripts").select("transcript_id", "ingested_at", F.coalesce(F.col("schema_tag").rlike(r"^[a-z]+-transcript\.v1$"), F.lit(False)).alias("accepted"))
 
 
 @query("a28_majority", "with c as (select rec_id, lang, count(*) n, min(request_id) f from (select rec_id, request_id, language_hint lang from asr_requests where language_hint is not null and rec_id is not null) group by all) select rec_id, arg_max(lang, (n, -f)) lang from c group by all")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from colloquy.functions import vectors as vx
-from colloquy.operators import clusters
+from colloquy.operators import clusters, pipeline
 from colloquy.plans.registry import query, table
 
 VX = "x as (select vec_id, label, list_transform(embedding, lambda a: a::double) v from embeddings), u as (select vec_id, label, list_transform(v, lambda a: a / greatest(sqrt(list_dot_product(v, v)), 1e-12)) v from x)"
@@ -80,3 +80,22 @@ def m08_refined(spark, sf_dir):
     """The same with the Markov refinement."""
     e = table(spark, sf_dir, "embeddings").withColumn("rec", (F.col("vec_id") % 8).cast("int"))
     return clusters.cluster_recordings(e, "rec", "vec_id", "embedding", refine=True)
+
+
+@query("m14_turns_of_windows")
+def m14_turns_of_windows(spark, sf_dir):
+    """The first pipeline as a whole; vectors stand for windows of 1.5 s every 0.75 s of eight recordings."""
+    i = F.floor(F.col("vec_id") / 8).cast("long")
+    w = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("r"), F.col("vec_id") % 8).alias("rec_id"), i.alias("idx"), (i * 0.75).alias("start"), (i * 0.75 + 1.5).alias("end"), F.lit(1.0).alias("speech"), F.lit(1.0).alias("rms"), F.col("embedding").alias("vector"))
+    return pipeline.turns_of_windows(w)
+
+
+@query("m15_turns_of_activities")
+def m15_turns_of_activities(spark, sf_dir):
+    """The second pipeline as a whole; vectors stand for two local speakers in windows of 16 frames every 8, of whom one speaks before the other."""
+    i = F.floor(F.col("vec_id") / 8).cast("long")
+    v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("r"), F.col("vec_id") % 8).alias("rec_id"), F.floor(i / 2).alias("win"), (i % 2).alias("local"), F.col("embedding").alias("vector"))
+    f = v.select("rec_id", "win", "local", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pos"))
+    act = F.lit(0.95) - F.lit(0.07) * F.abs(F.col("pos") - F.when(F.col("local") == 0, 4).otherwise(11))
+    f = f.select("*", (F.col("win") * 8 + F.col("pos")).alias("frame"), F.lit(16).alias("len"), act.alias("act"))
+    return pipeline.turns_of_activities(f, v, 10.0, refine=True)

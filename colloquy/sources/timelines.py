@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.timelines import merge_same_speaker, stretches
+
 RTTM = "SPEAKER %s 1 %.3f %.3f <NA> <NA> SPEAKER_%02d <NA> <NA>"
 # The names of a transcript document's fields and their types.
 DOCUMENT = """schema string, provenance struct<app:string,app_version:string,engine:string,model:string,language:string,created_at:string>,
 media struct<duration_seconds:double,sample_rate:int,channels:int,content_hash:string>, speakers array<struct<id:string,display_name:string>>,
 segments array<struct<id:string,start:double,`end`:double,text:string,speaker:string,confidence:double,language:string>>"""
-TAG = r"^[a-z]+-transcript\.v1$"  # the values of ``schema`` that name this version
 
 
 def rttm_lines(t: DataFrame) -> DataFrame:
@@ -18,14 +19,22 @@ def rttm_lines(t: DataFrame) -> DataFrame:
     return t.select("rec_id", "idx", F.format_string(RTTM, "rec_id", "start", F.col("end") - F.col("start"), "speaker").alias("line"))
 
 
-def parse_rttm(lines: DataFrame, line: str = "line") -> DataFrame:
-    """rec_id, start, end, name of each line that begins with SPEAKER, has at least eight fields and numbers for its times."""
+def parse_rttm(lines: DataFrame, line: str = "line", idx: str | None = None) -> DataFrame:
+    """rec_id, idx, start, end, name of each line that begins with SPEAKER, has at least eight fields and numbers for its times. idx: the lines' order, as they
+    are read unless given."""
     f = F.split(F.trim(line), r"\s+")
     start, dur = (F.try_element_at(f, F.lit(k)).try_cast("double") for k in (4, 5))
-    rows = lines.filter(F.col(line).startswith("SPEAKER") & (F.size(f) >= 8)).select(F.element_at(f, 2).alias("rec_id"), start.alias("start"), (start + dur).alias("end"), F.element_at(f, 8).alias("name"))
+    rows = lines.filter(F.col(line).startswith("SPEAKER") & (F.size(f) >= 8)).select(F.element_at(f, 2).alias("rec_id"), (F.col(idx) if idx else F.monotonically_increasing_id()).alias("idx"), start.alias("start"), (start + dur).alias("end"), F.element_at(f, 8).alias("name"))
     return rows.filter("start is not null and end is not null")
 
 
+def read_rttm(lines: DataFrame, line: str = "line", idx: str | None = None, gap: float = 0.01) -> DataFrame:
+    """rec_id, idx, start, end, speaker of the turns of RTTM lines: speakers numbered by the order of their names, consecutive turns of one speaker joined where
+    no more than ``gap`` seconds lie between them."""
+    t = numbered(parse_rttm(lines, line, idx))
+    return merge_same_speaker(stretches(t, gap), gap).drop("island")
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Speaker names as numbers from 0, by their order."""
     names = rows.select("rec_id", "name").distinct().withColumn("speaker", F.dense_rank().over(Window.partitionBy("rec_id").orderBy("name")) - 1)
@@ -65,12 +74,12 @@ def parse_timeline_json(df: DataFrame, column: str = "document") -> DataFrame:
     return df.select("rec_id", F.inline(parsed["timeline"]))
 
 
-def read_documents(df: DataFrame, payload: str) -> DataFrame:
-    """The rows with ``doc`` (the typed fields), ``raw`` (everything, as a variant) and ``reject`` (why a text is no document, else null)."""
+def read_documents(df: DataFrame, payload: str, tag: str) -> DataFrame:
+    """tag: the discriminator, as a pattern of the whole value of ``schema`` that names the version. The rows with ``doc`` (the typed fields), ``raw`` (everything, as a variant) and ``reject`` (why a text is no document, else null)."""
     raw = F.try_parse_json(payload)
     doc = F.from_json(payload, DOCUMENT)
-    tag = F.get_json_object(payload, "$.schema")
-    why = F.when(raw.isNull(), "not json").when(tag.isNull(), "no schema").when(~tag.rlike(TAG), "other schema").when(F.get_json_object(payload, "$.segments").isNull(), "no segments")
+    own = F.get_json_object(payload, "$.schema")
+    why = F.when(raw.isNull(), "not json").when(own.isNull(), "no schema").when(~own.rlike(f"^(?:{tag})$"), "other schema").when(F.get_json_object(payload, "$.segments").isNull(), "no segments")
     return df.withColumns({"raw": raw, "doc": F.when(why.isNull(), doc), "reject": why})
 
 

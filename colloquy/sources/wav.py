@@ -42,3 +42,11 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
     if len(body) > 0xFFFFFFFF - 36:
         raise ValueError("too long for a RIFF file")
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
+
+
+def prepare(content: bytes | None, rate: int) -> np.ndarray | None:
+    """The samples of a file at another rate."""
+    from colloquy.operators.frames import resample
+
+    got = decode(content)
+    return None if got is None else resample(got[0], got[1], rate)

@@ -14,7 +14,6 @@ sys.path.insert(0, ROOT)
 from colloquy.plans import registry
 
 CORE, SQL = registry.queries(), registry.oracle_sql()
-SLOW = {"r08_other_rule", "r29_postprocessed", "r05_split_overlaps", "r07_final_round"}
 
 
 def plain(v):
@@ -35,7 +34,7 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(SQL.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, con, name):
     df = CORE[name](spark, sf)
     cols = sorted(df.columns)

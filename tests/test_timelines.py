@@ -236,7 +236,7 @@ def test_windows_of_recordings_of_any_length(spark, tmp_path):
         out = list(range(0, max(n - size, 0) + 1, hop))
         return out + [n - size] * (flush and n > size and out[-1] + size < n)
 
-    for name, rate, size, hop, flush in (("m11_every_window", 10, 160, 80, True), ("m10_every_window", 100, 150, 75, False)):
+    for name, rate, size, hop, flush in (("m11_windows", 10, 160, 80, True), ("m10_windows", 100, 150, 75, False)):
         got = {}
         for r in registry.queries()[name](spark, str(tmp_path)).toPandas().itertuples():
             got.setdefault(r.rec_id, []).append(r.start)
