@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,8 +102,10 @@ def _profile(documents: list[dict]) -> dict[str, tuple[int, bytes]]:
 
 def _sketch(values: set) -> bytes:
     """The least hashes of the values, as 32-bit numbers."""
-    hashes = sorted({zlib.crc32((v if type(v) is str else repr(v)).encode("utf-8", "surrogatepass")) for v in values})[:SKETCH]
-    return np.array(hashes, dtype="<u4").tobytes()
+    if not values:
+        return b""
+    hashes = [zlib.crc32(v.encode("utf-8", "surrogatepass") if type(v) is str else repr(v).encode()) for v in values]
+    return array("I", hashes if len(hashes) == 1 else sorted(set(hashes))[:SKETCH]).tobytes()
 
 
 def profile(df: DataFrame, feed: str, file_no: str, payload: str) -> DataFrame:
@@ -144,12 +147,12 @@ class File:
                 field[0] |= kind
                 field[1].append(sketch)
                 if len(field[1]) > 4 * SKETCH:
-                    field[1] = [np.array(least(field[1]), dtype="<u4").tobytes()]
+                    field[1] = [np.array(least(field[1]), dtype=np.uint32).tobytes()]
 
 
 def least(sketches: list[bytes]) -> list[int]:
     """The sketch of all values of the parts."""
-    return np.unique(np.frombuffer(b"".join(sketches), dtype="<u4"))[:SKETCH].tolist()
+    return np.unique(np.frombuffer(b"".join(sketches), dtype=np.uint32))[:SKETCH].tolist()
 
 
 def parent(path: str) -> str:
