@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.scan import neighbours, running
+
+
+FRAMES = 10_000  # frames of a bucket of the two-level scans
+
+
+def _joined(df: DataFrame, track: list[str], at: str, end: str, most: int | Column) -> DataFrame:
+    """track..., at, end of stretches in which each row begins no more than ``most`` after the end of the one before. A long track is many tasks."""
+    rows = neighbours(df, track, at, [at], before={"__end": end}, bucket=FRAMES)
+    fresh = F.when(F.col("__end").isNull() | (F.col(at) - F.col("__end") > most), F.col(at))
+    rows = running(rows.withColumn("__first", fresh), track, at, [at], {"__from": ("max", F.col("__first"))}, inclusive=True, bucket=FRAMES)
+    return rows.groupBy(*track, "__from").agg(F.max(end).alias("to")).withColumnRenamed("__from", "from").select(*track, "from", "to")
+
 
 def runs(df: DataFrame, track: list[str], frame: str) -> DataFrame:
     """track..., from, to (exclusive) of each run of consecutive frames; df has the frames that are on, each once."""
-    w = Window.partitionBy(*track).orderBy(frame)
-    n = df.withColumn("__k", F.col(frame) - F.row_number().over(w))
-    return n.groupBy(*track, "__k").agg(F.min(frame).alias("from"), (F.max(frame) + 1).alias("to")).drop("__k")
+    return _joined(df.select(*track, F.col(frame).alias("__at"), (F.col(frame) + 1).alias("__to")), track, "__at", "__to", 0)
 
 
 def fill_gaps(r: DataFrame, track: list[str], most: int | Column) -> DataFrame:
     """Runs joined over gaps of up to ``most`` frames (a number, or what each track has); what lies before the first and after the last run is no gap."""
-    w = Window.partitionBy(*track).orderBy("from")
-    fresh = F.coalesce((F.col("from") - F.lag("to").over(w) > most).cast("int"), F.lit(1))
-    g = r.withColumn("__f", fresh).withColumn("__k", F.sum("__f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy(*track, "__k").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("__k")
+    return _joined(r, track, "from", "to", most)
 
 
 def drop_short(r: DataFrame, least: int) -> DataFrame:

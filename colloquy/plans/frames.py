@@ -182,7 +182,8 @@ def r26_weights(spark, sf_dir):
     return spark.range(16).select(i.alias("i"), (F.lit(0.1) + F.lit(0.9) * (F.lit(1.0) - F.abs(i - 7.5) / 8.5)).alias("w"))
 
 
-@query("f21_powerset")
+@query("f21_powerset", """with z as (select vec_id, list_transform(embedding[1:11], lambda x: x::double) z from embeddings), e as (select vec_id, list_transform(z, lambda x: exp(x - list_max(z))) q from z),
+p as (select vec_id, list_transform(q, lambda x: x / list_sum(q)) p from e) select vec_id, list_transform([p[2] + p[6] + p[7] + p[8], p[3] + p[6] + p[9] + p[10], p[4] + p[7] + p[9] + p[11], p[5] + p[8] + p[10] + p[11]], lambda x: round(x, 9)) activity from p""")
 def f21_powerset(spark, sf_dir):
     """Activity of each of four speakers from the softmax of eleven classes, at most two speakers at once; classes from the embeddings."""
     from colloquy.functions import vectors as vx

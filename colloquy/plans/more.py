@@ -16,6 +16,7 @@ from colloquy.plans.frames import pred03_energy_vad
 from colloquy.plans.registry import query, table
 from colloquy.plans.texts import SEG, segments
 from colloquy.plans.timelines import TL, timeline
+from colloquy.plans.vectors import CENTROIDS
 from colloquy.sources.timelines import speaker_line
 
 
@@ -42,7 +43,10 @@ def k04_beam(spark, sf_dir):
     return chunks.beam(lg, "l_orderkey", 2, 7)
 
 
-@query("m05_absorbed_by_duration")
+@query("m05_absorbed_by_duration", f"""with {CENTROIDS}, n as (select label, sum((vec_id % 7) * 0.1e0) n from u group by all), big as (select cen.* from cen join n using (label) where n >= 15),
+s as (select u.vec_id, big.label c, round(list_dot_product(u.v, big.c), 9) sc from u join n using (label), big where n < 15),
+moved as (select vec_id, c from s qualify row_number() over (partition by vec_id order by sc desc, c) = 1 union all select u.vec_id, u.label from u join n using (label) where n >= 15 or not exists (select 1 from big)),
+k as (select c, (row_number() over (order by c) - 1)::int label from (select distinct c from moved)) select vec_id, label from moved join k using (c)""")
 def m05_absorbed_by_duration(spark, sf_dir):
     """Clusters whose members last less than 15 s in all go to the nearest of the others; a vector's number gives its duration."""
     e = table(spark, sf_dir, "embeddings").withColumn("sec", (F.col("vec_id") % 7) * 0.1)
@@ -69,7 +73,7 @@ def m16_variants(spark, sf_dir):
     return turns.groupBy("onset", "gap").agg(F.count("*").alias("n_turns"), F.sum(length).alias("n_frames"), F.max(length).alias("longest"))
 
 
-@query("f22_hard_labels")
+@query("f22_hard_labels", """select vec_id, [[]::int[], [0], [1], [2], [3], [0, 1], [0, 2], [0, 3], [1, 2], [1, 3], [2, 3]][list_position(embedding[1:11], list_max(embedding[1:11]))] speakers from embeddings""")
 def f22_hard_labels(spark, sf_dir):
     """The speakers of the likeliest of eleven classes, the first of equals."""
     classes = F.array(*[F.array(*map(F.lit, c)).cast("array<int>") for c in fr.powerset_classes(4, 2)])

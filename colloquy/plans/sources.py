@@ -79,7 +79,7 @@ def s05_documents(spark, sf_dir):
     return st.read_documents(_raw(spark, sf_dir), "payload", VERSION).select("line_id", "reject")
 
 
-@query("s06_written")
+@query("s06_written", f"""with {RAW} select line_id, true same, len(json_keys(payload))::int n_fields from raw where json_valid(payload) and regexp_matches(json_extract_string(payload, '$.schema'), '^[a-z]+-transcript[.]v1$') and json_extract_string(payload, '$.segments') is not null""")
 def s06_written(spark, sf_dir):
     """Documents read and written again: whether text and variant agree, with their number of top-level fields."""
     d = st.write_documents(st.read_documents(_raw(spark, sf_dir), "payload", VERSION).filter("reject is null"))
@@ -87,7 +87,7 @@ def s06_written(spark, sf_dir):
     return d.select("line_id", (again == F.to_json("raw")).alias("same"), F.size(F.json_object_keys("payload")).alias("n_fields"))
 
 
-@query("c02_unknown_fields")
+@query("c02_unknown_fields", f"""with {RAW}, k as (select line_id, unnest(json_keys(payload)) field from raw where json_valid(payload) and json_type(payload) = 'OBJECT') select * from k where field not in ('schema', 'provenance', 'media', 'speakers', 'segments')""")
 def c02_unknown_fields(spark, sf_dir):
     """Top-level fields of the documents that the typed schema does not know."""
     known = ["schema", "provenance", "media", "speakers", "segments"]
