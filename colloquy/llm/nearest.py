@@ -24,6 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions.arrow import numbered
+from colloquy.functions.cover import places, top_cover
+
 BUCKET_MS = 300_000
 SPAN = 16
 CHUNK = 100_000
@@ -42,39 +45,11 @@ from (select * from inside union all select * from back union all select * from
 
 def innermost(g: np.ndarray, s: np.ndarray, e: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of intervals of groups: group, instant and number of the interval that starts latest (the smallest key of equals) of those that hold each
-    instant from this one until the next; -1 where nothing does. Ends belong to their interval.
-
-    Intervals are laid over the instants in order of start, the last on top. A stretch of instants is two overlapping stretches of a power
-    of two; the greatest rank of each is noted, and is handed down from every power to the next, so that no interval is walked.
-    """
+    instant from this one until the next; -1 where nothing does. Ends belong to their interval."""
     order = np.lexsort((-key, s, g))
-    at = np.unique(np.stack([np.concatenate([g, g]), np.concatenate([s, e + 1])]), axis=1)
-    # a search by group and instant is one by place in the sorted table of both
-    place = lambda grp, t: np.searchsorted(at[0], grp) + _within(at, grp, t)
-    a, b = place(g[order], s[order]), place(g[order], e[order] + 1)
-    power = np.frexp((b - a).astype(float))[1] - 1  # the greatest k with 2**k <= b - a
-    levels = [np.full(at.shape[1], -1) for _ in range(int(power.max(initial=0)) + 1)]
-    rank = np.arange(len(order))
-    for k in range(len(levels) - 1, -1, -1):
-        own = np.flatnonzero(power == k)
-        np.maximum.at(levels[k], a[own], rank[own])
-        np.maximum.at(levels[k], b[own] - (1 << k), rank[own])
-        if k:
-            half = 1 << (k - 1)
-            levels[k - 1] = np.maximum(levels[k - 1], levels[k])
-            levels[k - 1][half:] = np.maximum(levels[k - 1][half:], levels[k][:-half])
-    top = levels[0]
-    return at[0], at[1], np.where(top >= 0, order[np.maximum(top, 0)], -1)
-
-
-def _within(at: np.ndarray, grp: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """How many instants of group ``grp`` come before ``t``."""
-    first = np.searchsorted(at[0], grp)
-    both = np.lexsort((np.concatenate([np.zeros(at.shape[1], int), np.full(len(t), -1)]), np.concatenate([at[1], t]), np.concatenate([at[0], grp])))
-    before = np.cumsum(both < at.shape[1])
-    out = np.empty(len(both), dtype=np.int64)
-    out[both] = before
-    return out[at.shape[1] :] - first
+    group, at, number = places(np.concatenate([g, g]), np.concatenate([s, e + 1]))
+    top = top_cover(len(group), number[: len(g)][order], number[len(g) :][order])
+    return group, at, np.where(top >= 0, order[np.maximum(top, 0)], -1)
 
 
 def _pair(tolerance: int):
@@ -108,7 +83,7 @@ def _pair(tolerance: int):
                 n += batch.num_rows
                 if n < CHUNK:
                     continue
-                rows, g = _numbered(held)
+                rows, g = numbered(held, ["ent", "b"])
                 cut = int(np.searchsorted(g, g[-1]))  # the last bucket may go on
                 if cut:
                     yield from joined(rows.slice(0, cut), g[:cut])
@@ -118,21 +93,13 @@ def _pair(tolerance: int):
                     rows = rows.filter(pc.invert(rows["point"]))
                 held, n = rows.to_batches(), rows.num_rows if cut else 0
             if held:
-                yield from joined(*_numbered(held))
+                yield from joined(*numbered(held, ["ent", "b"]))
         finally:
             con.close()
 
     return run
 
 
-def _numbered(batches: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
-    """The rows as one table, and the number of each row's bucket."""
-    rows = pa.Table.from_batches(batches).combine_chunks()
-    ent, b = rows["ent"], rows["b"]
-    fresh = pc.or_(pc.not_equal(ent.slice(1), ent.slice(0, len(ent) - 1)), pc.not_equal(b.slice(1), b.slice(0, len(b) - 1)))
-    return rows, np.concatenate([[0], np.cumsum(np.asarray(fresh))])
-
-
 def nearest_interval(points: DataFrame, intervals: DataFrame, tolerance: int, bucket: int = BUCKET_MS) -> DataFrame:
     """point, interval, distance of each point with an interval within the tolerance.
 
