@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy.operators.delivery import first_delivery
 from colloquy.plans.registry import query, table
