@@ -352,7 +352,7 @@ def _search_all(docs: DataFrame, rows: DataFrame, copies: DataFrame, min_len: in
     shape = "doc long, from_char long, to_char long" if spans else "doc_id_a long, doc_id_b long"
     search = lambda df: df.repartition("fp").sortWithinPartitions("fp").mapInArrow(_search(min_len, expand, spans), shape)
 
-    fine = cut(regions.filter("at.hot")).mapInArrow(_refine(min_len, max(1, min_len - FINE)), _REGION_SHAPE).distinct()
+    fine = cut(regions.filter("at.hot")).mapInArrow(_refine(min_len, max(1, min_len - FINE)), _REGION_SHAPE)
     group = Window.partitionBy("fp")
     fine = fine.withColumns({"block": F.expr(f"(row_number() over (partition by fp order by doc, begin) - 1) div {BLOCK_ROWS}"), "last": F.floor((F.count("*").over(group) - 1) / BLOCK_ROWS), "d0": F.min("doc").over(group), "d1": F.max("doc").over(group)})
     fine = fine.filter("d0 <> d1").withColumn("other", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), "last"), lambda k: (k != F.col("block")) | (F.col("last") == 0))))
