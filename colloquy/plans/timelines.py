@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.times import timed, to_ms
+from colloquy.functions.times import timed
 from colloquy.operators import scan, scoring
 from colloquy.operators import timelines as tl
-from colloquy.operators.delivery import first_delivery
 from colloquy.plans.core_training import TURNS, turns
-from colloquy.plans.registry import query, table
+from colloquy.plans.registry import query
 
 TL = f"""{TURNS}, tl as (select rec_id, turn_id idx, s / 1000e0 st, e / 1000e0 en, speaker sp from timed where speaker is not null and rec_id is not null)"""
 OUT = 'rec_id, idx, st "start", en "end", sp speaker'
